@@ -68,13 +68,13 @@ def pack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.concatenate(([0], np.cumsum(sizes)))
 
 
-def words(buf: np.ndarray, gaps: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the maximal runs of bytes that are no gaps.
+def words(buf: np.ndarray, gaps: np.ndarray, values: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Starts, ends and hashes of the maximal runs of bytes that are no gaps; then a hash array for each prefix length (0 where the run isn't longer).
 
     The array must end in a gap.  It is hashed block by block, each block cut at
     a gap, so memory doesn't follow the size of the array.
     """
-    starts, ends, hashes = [], [], []
+    starts, ends, hashes, heads = [], [], [], [[] for _ in prefixes]
     at, n = 0, len(buf)
     while at < n:
         to = min(n, at + BLOCK)
@@ -93,12 +93,15 @@ def words(buf: np.ndarray, gaps: np.ndarray, values: np.ndarray) -> tuple[np.nda
         up, down = powers(len(part))
         total = np.concatenate((np.zeros(1, U64), np.cumsum(values[part] * up[:-1], dtype=U64)))
         hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U64)))
+        for k, out in zip(prefixes, heads):
+            long = e - s > k
+            out.append(np.where(long, mix((total[np.minimum(s + k, len(part))] - total[s]) * down[s] + U64(k << 32)), U64(0)))
         starts.append(s + at)
         ends.append(e + at)
         at = to
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), *(np.zeros(0, U64) for _ in prefixes)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes), *(np.concatenate(x) for x in heads)
 
 
 def windows(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: White space by Unicode's property, as the pattern's \s has it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -163,7 +164,7 @@ def groups(texts: list[str | None], most: int = 8 << 20) -> Iterator[tuple[int,
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all by default) with ``ids`` (array of int) and ``decoded`` (string of the decoded bytes)."""
     keep = docs.columns if keep is None else keep
-    out = docs.select(*keep).schema.add("ids", "array<int>").add("decoded", "string")
+    out = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches):
         tok = bpe(path, pattern)
