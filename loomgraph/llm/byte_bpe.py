@@ -176,7 +176,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
                 back = pa.array([tok.decode(x).decode("utf-8", "replace") for x in coded], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns[:-1], ids, back], names=out.names)
 
-    return docs.select(*keep, docs[text_col].cast("string")).mapInArrow(run, out)
+    return docs.select(*keep, docs[text_col].cast("string").alias("__given_text")).mapInArrow(run, out)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

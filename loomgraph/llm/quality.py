@@ -102,7 +102,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_c
                     at, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out))], names=names)
 
-    return docs.select("*", docs[text_col].cast("string")).mapInArrow(run, docs.select("*").schema.add(score_col, "double"))
+    return docs.select("*", docs[text_col].cast("string").alias("__given_text")).mapInArrow(run, docs.select("*").schema.add(score_col, "double"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, most: int = 6000, most_bytes: int = 65536) -> np.ndarray:

@@ -136,7 +136,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", offendi
                 at, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.float64()), pa.array(bad, kind)], names=schema.names)
 
-    return docs.select("*", docs[text_col].cast("string")).mapInArrow(run, schema)
+    return docs.select("*", docs[text_col].cast("string").alias("__given_text")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 5, held: int = 0, most: int = 6000) -> DataFrame:
