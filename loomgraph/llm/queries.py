@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ngram_join, pii, quality, substring_dedup, token_counts, topk, toxicity
+from . import byte_bpe, decontamination, ngram_join, pii, quality, substring_dedup, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, one_in=20)
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, k=20, scale=64.0)
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pii": op4_pii,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
