@@ -82,18 +82,18 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col:
     return both.select("doc_id", "item", "shift").distinct().join(tests, "item").select("doc_id", "item_id", "item_words", "shift")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs (doc_id, words) with ``matches``: array of (item_id, start, size), exact windows in word positions."""
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every row of docs (doc_id, words, the columns to keep) with ``matches``: array of (item_id, start, size), exact windows in word positions."""
     found = alignments(docs, benchmark, window, id_col, text_col).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("aligned"))
     # the text meets its alignments and is cut into words afterwards: an exchange of word arrays would be larger
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = plain.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", "aligned", words("text").alias("words"))
+    plain = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.struct(*(keep or [F.lit(None)])).alias("kept"))
+    both = plain.join(found, F.col("__id") == F.col("of"), "left").select(F.col("__id").alias("doc_id"), "kept", "aligned", words("__text").alias("words"))
     starts = f"""
         filter(sequence(0, size(a.item_words) - least(size(a.item_words), {window})), i ->
             a.shift + i >= 0 and a.shift + i + least(size(a.item_words), {window}) <= size(words) and
             slice(words, greatest(a.shift + i, 0) + 1, least(size(a.item_words), {window})) = slice(a.item_words, i + 1, least(size(a.item_words), {window})))"""
     matches = f"flatten(transform(aligned, a -> transform({starts}, i -> struct(a.item_id as item_id, a.shift + i as start, least(size(a.item_words), {window}) as size))))"
-    return both.select("doc_id", "words", F.expr(f"if(aligned is null, null, {matches})").alias("matches"))
+    return both.select("doc_id", "kept", "words", F.expr(f"if(aligned is null, null, {matches})").alias("matches"))
 
 
 def proximity_matches(docs: DataFrame, first: str, others: list[str], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,10 +107,19 @@ def proximity_matches(docs: DataFrame, first: str, others: list[str], within: in
     return found
 
 
+_HIT = "coalesce(size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.size - 1))))), 0)"
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which fewer than one word in ``one_in`` is hit, with their columns."""
+    m = phrase_matches(docs, benchmark, window, id_col, text_col, docs.columns).withColumn("n_hit", F.expr(_HIT))
+    return m.where((F.col("n_hit") == 0) | (one_in * F.col("n_hit") < F.size("words"))).select("kept.*")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (one word in ``one_in`` or more is hit)."""
     m = phrase_matches(docs, benchmark, window, id_col, text_col)
-    hit = F.expr("coalesce(size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.size - 1))))), 0)")
+    hit = F.expr(_HIT)
     names = F.expr("coalesce(array_sort(array_distinct(transform(matches, m -> cast(m.item_id as string)))), array())")
     out = m.select("doc_id", F.size("words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), names.alias("names"))
     return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

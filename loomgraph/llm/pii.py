@@ -157,12 +157,12 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, pairs: DataFrame, support: int, generalise: float) -> DataFrame:
     """(entity, term, share) of the pairs whose disclosure reaches the threshold in enough documents."""
-    total = docs.agg(F.count("*").alias("total"))  # one row
+    total = F.lit(docs.count())
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     alone = joint.where("term = 0").select("entity", F.col("n_both").alias("n_entity"))
-    known = joint.where("term <> 0").join(alone, "entity").join(term_frequencies(docs), "term").join(F.broadcast(total))
-    ic = F.log2(F.col("total") / F.col("n_entity"))
-    share = F.when(ic > 0, F.log2(F.col("total") * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / ic)
+    known = joint.where("term <> 0").join(alone, "entity").join(term_frequencies(docs), "term")
+    ic = F.log2(total / F.col("n_entity"))
+    share = F.when(ic > 0, F.log2(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / ic)
     return known.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
 
 
@@ -225,18 +225,21 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def redact(text: str, low: list | None, high: list | None) -> str:
-    """Base spans and generalised terms give way to their kind; removed terms go."""
-    base = base_spans(text)
-    if not base:
-        return text
-    general, gone = _terms_in(text, base, low, high) if low or high else ([], [])
-    marks = [(a, b, f"<{KINDS[k].upper()}>") for k, a, b in base + general] + [(a, b, "") for _, a, b in gone]
-    out, at = [], 0
-    for a, b, mark in sorted(marks):
-        if a >= at:  # of spans that overlap, the first gives its mark
-            out += [text[at:a], mark]
-        at = max(at, b)
-    return "".join([*out, text[at:]])
+    """Base spans and generalised terms give way to their kind; removed terms go.
+
+    What is left may hold a number that its neighbours hid, so this repeats until no base span is left.
+    """
+    while base := base_spans(text):
+        general, gone = _terms_in(text, base, low, high) if low or high else ([], [])
+        marks = [(a, b, f"<{KINDS[k].upper()}>") for k, a, b in base + general]
+        marks += [(a, b, " " if text[a - 1 : a].isdigit() or text[b : b + 1].isdigit() else "") for _, a, b in gone]
+        out, at = [], 0
+        for a, b, mark in sorted(marks):
+            if a >= at:  # of spans that overlap, the first gives its mark
+                out += [text[at:a], mark]
+            at = max(at, b)
+        text = "".join([*out, text[at:]])
+    return text
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
