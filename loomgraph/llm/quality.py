@@ -65,8 +65,12 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 3) -> np.ndarray:
-    """Weights by place; the last is the bias, the log odds of the labels: what a text of unknown words gets."""
+def fit(texts: list[str], labels: list[int], updates: int = 18_000, epochs: int = 30) -> np.ndarray:
+    """Weights by place; the last is the bias, the log odds of the labels: what a text of unknown words gets.
+
+    Passes over the sample until there are about so many updates, at most ``epochs``.
+    """
+    epochs = max(1, min(epochs, -(-updates // max(1, len(texts)))))
     model = Ftrl(1 << BITS)
     parts = []
     for lo in range(0, len(texts), 500):

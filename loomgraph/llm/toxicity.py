@@ -58,11 +58,12 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 0.4, least: int = 3, l1: float = 2e-4) -> np.ndarray:
+def fit(texts: list[str], labels: list[int], updates: int = 450, rate: float = 0.4, least: int = 3, l1: float = 2e-4) -> np.ndarray:
     """Weights by place, the last the bias; features of fewer than ``least`` documents of the sample stay at 0.
 
-    The first half of the epochs shrinks weights to choose features; the second half fits the chosen ones freely.
+    About so many updates by batches of 400 documents shrink weights to choose features; as many more fit the chosen ones.
     """
+    epochs = max(1, updates // max(1, -(-len(texts) // 400)))
     out = np.zeros((1 << BITS) + 1, np.float32)
     out[-1] = -35
     parts, seen = [], np.zeros(1 << BITS, np.int32)
