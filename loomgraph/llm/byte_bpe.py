@@ -162,8 +162,8 @@ def groups(texts: list[str | None], most: int = 8 << 20) -> Iterator[tuple[int,
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default) with ``ids`` (array of int) and ``decoded`` (string of the decoded bytes)."""
-    keep = docs.columns if keep is None else keep
+    """The kept columns (all by default) with ``ids`` (array of int) and ``decoded`` (string of the decoded bytes), in place of columns of these names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
     out = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches):

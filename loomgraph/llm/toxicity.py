@@ -115,14 +115,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", offending: float = 0.5) -> DataFrame:
-    """The table with toxic_score and toxic_sentences (start, end in bytes, score of each offending sentence)."""
-    schema = docs.select("*").schema.add("toxic_score", "double").add("toxic_sentences", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))
+    """The table with toxic_score and toxic_sentences (start, end in bytes, score of each offending sentence), in place of columns of these names."""
+    docs = docs.select(docs[text_col].cast("string").alias("__given_text"), *[c for c in docs.columns if c not in ("toxic_score", "toxic_sentences")])
+    schema = docs.drop("__given_text").schema.add("toxic_score", "double").add("toxic_sentences", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
             total, bad, at, size = [], [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
@@ -135,9 +136,9 @@ def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", offendi
                 total += score.tolist()
                 bad += found
                 at, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.float64()), pa.array(bad, kind)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(total, pa.float64()), pa.array(bad, kind)], names=schema.names)
 
-    return docs.select("*", docs[text_col].cast("string").alias("__given_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 5, held: int = 0, most: int = 6000) -> DataFrame:
