@@ -38,6 +38,8 @@ _VALUES = V.byte_values(1, fold_case=True)
 _U = np.uint64
 #: Documents in a block of a room, at least and at most.
 BLOCK_DOCS = (32, 256)
+#: Tasks over which the rows of a room are dealt.
+SALTS = 16
 #: Bytes of the matrix of probing sets by shingles at a time.
 MATRIX_BYTES = 8 << 20
 
@@ -271,6 +273,12 @@ def _rooms(reps: DataFrame, percent: int, buckets: int) -> DataFrame:
     return connected_components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "room")
 
 
+def _spread(rows: DataFrame, per_room: DataFrame) -> DataFrame:
+    """A join by room that deals a large room's rows over several tasks; per_room has a row for each room of several blocks."""
+    salted = rows.withColumn("__s", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    return salted.join(per_room.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["room", "__s"]).drop("__s")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
     _, buckets = X.sizes(docs.sparkSession)
@@ -291,12 +299,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     light = placed.where("blocks > 1").select("room", "blocks", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = light.groupBy("room", "component").agg(F.count("*").alias("k"))
     major = sizes.groupBy("room").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
-    minor = light.join(major, "room").where("component <> major").select("room", "rep", "blocks")
+    minor = _spread(light, major).where("component <> major").select("room", "rep", "blocks")
     per = minor.groupBy("room").agg(F.count("*").alias("k"), F.first("blocks").alias("blocks")).select("room", F.ceil(F.col("k") / F.lit(low)).cast("int").alias("minors"))
-    minor = cut(minor.join(per, "room").select("room", "rep", "minors"))
+    minor = cut(_spread(minor, per).select("room", "rep", "minors"))
     body = placed.where("blocks > 1").select("room", "blocks", "rep", "n", "tokens", "b")
     probing = body.join(minor, ["room", "rep"]).select("room", "rep", "n", "tokens", F.pmod(F.xxhash64("rep", F.lit(1)), "minors").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("probe"))
-    found = body.join(minor.select("room", "minors").distinct(), "room").select("room", "rep", "n", "tokens", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("a"), F.col("b").alias("j"), F.lit(False).alias("probe"))
+    found = _spread(body, minor.select("room", "minors").distinct()).select("room", "rep", "n", "tokens", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("a"), F.col("b").alias("j"), F.lit(False).alias("probe"))
     second = links(probing.unionByName(found), "room", "a", "j")
     same = may.join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     final = connected_components(first.unionByName(second).unionByName(same))
