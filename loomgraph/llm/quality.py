@@ -73,9 +73,9 @@ def fit(texts: list[str], labels: list[int], updates: int = 18_000, epochs: int
     epochs = max(1, min(epochs, -(-updates // max(1, len(texts)))))
     model = Ftrl(1 << BITS)
     parts = []
-    for lo in range(0, len(texts), 500):
-        row, place, value = features([t.encode() for t in texts[lo : lo + 500]])
-        at = V.slices(row, len(texts[lo : lo + 500]))
+    for lo in range(0, len(texts), 100):
+        row, place, value = features([t.encode() for t in texts[lo : lo + 100]])
+        at = V.slices(row, len(texts[lo : lo + 100]))
         parts += [(place[a:b].astype(np.int32), value[a:b].astype(np.float32)) for a, b in zip(at[:-1], at[1:])]
     bias = float(np.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5))) if labels else 0.0
     for _ in range(epochs):
