@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words with the space before them, and runs of white space: the pattern never joins what this parts.
 _COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Entries that a worker keeps between batches.
-CACHE = 400_000
+#: Entries that a worker keeps between the batches of a task, about.
+CACHE = 250_000
 
 
 class ByteBpe:
@@ -114,6 +114,11 @@ class ByteBpe:
         counts = np.bincount(piece[alive], minlength=len(pieces))
         return np.split(kept, np.cumsum(counts)[:-1]) if len(pieces) else []
 
+    def forget(self) -> None:
+        """Drops what is kept between batches: a worker lives on after its task, beside those of other stages."""
+        self.words.clear()
+        self.pieces.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
         if len(self.words) > CACHE:
@@ -175,6 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
                 ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in coded], pa.list_(pa.int32()))
                 back = pa.array([tok.decode(x).decode("utf-8", "replace") for x in coded], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns[:-1], ids, back], names=out.names)
+        tok.forget()
 
     return docs.select(*keep, docs[text_col].cast("string").alias("__given_text")).mapInArrow(run, out)
 
@@ -197,5 +203,6 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        tok.forget()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
