@@ -2,8 +2,8 @@
 
 Base detectors find e-mail addresses, IP addresses, card and phone numbers.  Each
 distinct value is a protected entity.  Over the whole corpus, document counts
-estimate how strongly a term near an entity reveals it: the pointwise mutual
-information of both, as a share of the entity's information content
+estimate how strongly a term in an entity's documents, wherever it stands, reveals
+it: the pointwise mutual information of both, as a share of the entity's information content
 log2(N / n(entity)).  A term that discloses at least ``generalise`` of it, in at
 least ``support`` documents, is generalised in the documents that hold the
 entity; from ``remove`` on it is removed.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut
+from loomgraph.session import stored
 
 from . import _vec as V
 
@@ -40,7 +40,6 @@ _GAPS = ~V.byte_class([*range(65, 91), *range(97, 123), *range(128, 256)])
 _VALUES = V.byte_values(4, fold_case=True)
 #: Shortest term, in bytes.
 TERM_BYTES = 3
-_REACH = 160  # characters either side of an entity in which its neighbours are looked for
 
 
 def _luhn(digits: str) -> bool:
@@ -93,34 +92,48 @@ def term_ids(terms: list[bytes]) -> np.ndarray:
     return V.words(buf, _GAPS, _VALUES)[2].astype(np.int64)
 
 
-def neighbours(text: str, start: int, end: int, reach: int) -> list[bytes]:
-    """The nearest terms before and after a span, ``reach`` on either side."""
-    lo, hi = max(0, start - _REACH), min(len(text), end + _REACH)
-    before = [m[0] for m in _TERM.finditer(text, lo, start) if m.start() > lo or lo == 0]
-    after = [m[0] for m in _TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text)]
-    return [t for x in (before[-reach:], after[:reach]) for w in x if len(t := w.encode()) >= TERM_BYTES]
-
-
-def _pairs(docs: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, entity, term) once per row; term 0 stands for the entity alone."""
+def _distinct_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each distinct term of each text, sorted by both."""
+    buf, begin = V.pack(texts)
+    s, e, h = V.words(buf, _GAPS, _VALUES)
+    row = np.searchsorted(begin, s, side="right") - 1
+    long = e - s >= TERM_BYTES
+    row, h = row[long], h[long]
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[new], h[new]
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, entity, term) of every distinct term of a row with every entity of it, wherever they stand; term 0 stands for the entity alone."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "entity", "term")])
+
+    def rows(ids: list, texts: list[bytes], entities: list[list[int]]):
+        row, h = _distinct_terms(texts)
+        at = V.slices(row, len(texts))
+        for i, found in enumerate(entities):
+            terms = np.concatenate((np.zeros(1, np.int64), h[at[i] : at[i + 1]].astype(np.int64)))
+            n = len(terms) * len(found)
+            doc = pa.nulls(n, pa.int64()) if ids[i] is None else pa.array(np.full(n, ids[i], np.int64))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(np.repeat(np.array(found, np.int64), len(terms))), pa.array(np.tile(terms, len(found)))], schema=schema)
 
     def run(batches):
         for batch in batches:
-            ids, entities, terms, where = [], [], [], []
+            held, size = ([], [], []), 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, a, b in base_spans(text or ""):
-                    e = entity_id(kind, text[a:b])
-                    near = neighbours(text, a, b, reach)
-                    ids.append(doc)
-                    entities.append(e)
-                    where.append(len(terms))
-                    terms += near
-            if not ids:
-                continue
-            hashed = term_ids(terms) if terms else np.zeros(0, np.int64)
-            ends = [*where[1:], len(terms)]
-            rows = dict.fromkeys((d, e, t) for d, e, lo, hi in zip(ids, entities, where, ends) for t in [0, *hashed[lo:hi].tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "entity", "term"])
+                found = sorted({entity_id(kind, text[a:b]) for kind, a, b in base_spans(text)}) if text else []
+                if not found:
+                    continue
+                for x, y in zip(held, (doc, text.encode(), found)):
+                    x.append(y)
+                size += len(held[1][-1])
+                if size >= 1 << 20:
+                    yield from pa.Table.from_batches(rows(*held), schema).combine_chunks().to_batches(1 << 16)
+                    held, size = ([], [], []), 0
+            if held[0]:
+                yield from pa.Table.from_batches(rows(*held), schema).combine_chunks().to_batches(1 << 16)
 
     return docs.mapInArrow(run, "doc_id long, entity long, term long")
 
@@ -136,16 +149,8 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
                 size += len(t)
                 if size < 4 << 20 and i < len(texts) - 1:
                     continue
-                buf, begin = V.pack(texts[at : i + 1])
-                s, e, h = V.words(buf, _GAPS, _VALUES)
-                row = np.searchsorted(begin, s, side="right")
-                long = e - s >= TERM_BYTES
-                row, h = row[long], h[long]
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                counted.append(np.unique(h[new], return_counts=True))
+                _, h = _distinct_terms(texts[at : i + 1])
+                counted.append(np.unique(h, return_counts=True))
                 at, size = i + 1, 0
             if counted:
                 h, which = np.unique(np.concatenate([x for x, _ in counted]), return_inverse=True)
@@ -166,10 +171,10 @@ def disclosing(docs: DataFrame, pairs: DataFrame, support: int, generalise: floa
     return known.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
 
 
-def disclosing_terms(docs: DataFrame, *, reach: int = 6, support: int = 3, generalise: float = 0.5, remove: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def disclosing_terms(docs: DataFrame, *, support: int = 3, generalise: float = 0.5, remove: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, generalised, removed): hashes of the terms that disclose an entity of the document."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pairs = cut(_pairs(plain, reach))
+    pairs = stored(_pairs(plain))
     flagged = disclosing(plain, pairs, support, generalise)
     level = lambda c: F.collect_set(F.when(c, F.col("term")))
     return pairs.join(flagged, ["entity", "term"]).groupBy("doc_id").agg(level(F.col("share") < remove).alias("generalised"), level(F.col("share") >= remove).alias("removed"))

@@ -196,6 +196,17 @@ def test_pii_terms_disclose(spark, odd, empty):
     assert pii.spans(odd).count() == odd.count() and pii.sanitise(odd).columns == odd.columns and pii.spans(empty).count() == 0
 
 
+def test_pii_terms_disclose_from_afar(spark):
+    far = "of it as well as the one to be in so " * 8
+    texts = [f"zorblax came . {far}. mail zed@x.org", f"mail zed@x.org . {far}. a zorblax", f"zorblax zed@x.org {far}", f"zed@x.org {far} zorblax and zorblax"]
+    rows = [*enumerate(texts), *((100 + i, f"came and {far} mail") for i in range(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.spans(df).collect()}
+    for i, t in enumerate(texts):
+        assert [x for x in got[i].split(",") if x.startswith("term")] == [f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblax", t)]
+    assert all("zorblax" not in r.text for r in pii.sanitise(df).collect())
+
+
 def test_redaction_leaves_nothing():
     for t in ("4111 1111 1111 1111 1.2.3.4", "a@b.c@d.ef", "+1 (555) 010-9999 and 10.0.0.1.8.8.8.8"):
         assert not pii.base_spans(pii.redact(t, [], []))
