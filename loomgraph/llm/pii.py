@@ -4,9 +4,11 @@ Base detectors find e-mail addresses, IP addresses, card and phone numbers.  Eac
 distinct value is a protected entity.  Over the whole corpus, document counts
 estimate how strongly a term in an entity's documents, wherever it stands, reveals
 it: the pointwise mutual information of both, as a share of the entity's information content
-log2(N / n(entity)).  A term that discloses at least ``generalise`` of it, in at
-least ``support`` documents, is generalised in the documents that hold the
-entity; from ``remove`` on it is removed.
+log2(N / n(entity)).  A term that discloses at least ``generalise`` of it is
+generalised in the documents that hold the entity; from ``remove`` on it is
+removed.  A pair seen in fewer than ``support`` rows is judged too, by the lower
+confidence bound of the term's rate in place of the rate, so that chance meetings
+of rare terms and rare entities weigh less.
 
 Defined cases: null or empty text has no spans; counts are over rows; rows that
 share a doc_id share their disclosing terms; a row without doc_id has base spans
@@ -20,7 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.session import stored
@@ -40,6 +42,8 @@ _GAPS = ~V.byte_class([*range(65, 91), *range(97, 123), *range(128, 256)])
 _VALUES = V.byte_values(4, fold_case=True)
 #: Shortest term, in bytes.
 TERM_BYTES = 3
+#: Standard deviations either side of a rate in its 95 % interval.
+Z = 1.96
 
 
 def _luhn(digits: str) -> bool:
@@ -160,14 +164,20 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def _rate(both: Column, of: Column, support: int) -> Column:
+    """The share of a term's rows that hold the entity; seen in fewer than ``support`` rows, the lower end of its 95 % interval (Wilson)."""
+    low = (both + Z * Z / 2 - Z * F.sqrt(both * (of - both) / of + Z * Z / 4)) / (of + Z * Z)
+    return F.when(both >= support, both / of).otherwise(low)
+
+
 def disclosing(docs: DataFrame, pairs: DataFrame, support: int, generalise: float) -> DataFrame:
-    """(entity, term, share) of the pairs whose disclosure reaches the threshold in enough documents."""
+    """(entity, term, share) of the pairs whose disclosure reaches the threshold."""
     total = F.lit(docs.count())
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     alone = joint.where("term = 0").select("entity", F.col("n_both").alias("n_entity"))
     known = joint.where("term <> 0").join(alone, "entity").join(term_frequencies(docs), "term")
     ic = F.log2(total / F.col("n_entity"))
-    share = F.when(ic > 0, F.log2(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / ic)
+    share = F.when(ic > 0, F.log2(total * _rate(F.col("n_both"), F.col("n_term"), support) / F.col("n_entity")) / ic)
     return known.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
 
 

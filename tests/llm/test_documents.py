@@ -207,6 +207,25 @@ def test_pii_terms_disclose_from_afar(spark):
     assert all("zorblax" not in r.text for r in pii.sanitise(df).collect())
 
 
+def test_pii_rare_entities_disclose(spark):
+    more = [(100 + i, f"calls came in on day{i} as chance would have") for i in range(200)]
+    rows = [(1, "quennel calls +1 555 010 9999"), (2, "day of quennel , +1 555 010 9999"), (3, "vorbin calls vo@x.org"), *((100 + i, "chance meeting") for i in range(20)), *more]
+    got = {}
+    for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.spans)
+    assert got[1] == ["phone:14:29,term:0:7"] and got[2] == ["phone:17:32,term:7:14"]
+    assert "term:0:6" in got[3][0] and "term:7:12" not in got[3][0]
+
+
+def test_pii_counts_rows(spark):
+    """Rows that share a doc_id, or have none, count each."""
+    for key in (1, None):
+        rows = [*((key, f"quennel zed@x.org {i}") for i in range(3))]
+        pairs = pii._pairs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+        n = {r["count"] for r in pairs.groupBy("entity", "term").count().collect()}
+        assert n == {3}
+
+
 def test_redaction_leaves_nothing():
     for t in ("4111 1111 1111 1111 1.2.3.4", "a@b.c@d.ef", "+1 (555) 010-9999 and 10.0.0.1.8.8.8.8"):
         assert not pii.base_spans(pii.redact(t, [], []))
