@@ -15,6 +15,9 @@
    documents that this leaves outside their room's largest class meet the rest.
    Linked pairs inside a class needn't be found: classes are connected components.
 
+``links`` and ``linked_documents`` enumerate every linked pair instead: each block
+of a room meets itself and every other block of the room.
+
 Defined cases: null or empty text, or one of separators alone: an empty set,
 linked with nothing; fewer words than ``n``: the whole sequence is one shingle;
 rows that share a doc_id are one node; a row without doc_id keeps its n_shingles
@@ -38,6 +41,8 @@ _VALUES = V.byte_values(1, fold_case=True)
 _U = np.uint64
 #: Documents in a block of a room, at least and at most.
 BLOCK_DOCS = (32, 256)
+#: Shingles in a block of a room where all blocks meet, on average at most.
+BLOCK_TOKENS = 1 << 17
 #: Tasks over which the rows of a room are dealt.
 SALTS = 16
 #: Bytes of the matrix of probing sets by shingles at a time.
@@ -158,8 +163,9 @@ def _union(n: int, pairs) -> list[tuple[int, int]]:
 class Trie:
     """A path-compressed prefix tree of ordered sets; node: tokens of its path, children, sets that end there."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        order = sorted(range(len(sets)), key=lambda i: tuple(sets[i].tolist()))
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, members: list[int] | None = None):
+        """All sets may probe; the tree holds those of ``members`` only, or all."""
+        order = sorted(range(len(sets)) if members is None else members, key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets, self.sizes = sets, sizes
         self.root = self._node(order, 0)
 
@@ -309,3 +315,73 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     same = may.join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     final = connected_components(first.unionByName(second).unionByName(same))
     return sets.select("doc_id", "n_shingles").join(final, sets["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _block_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets' order in the table, and all linked pairs of a task's two blocks (or within its only one), each once, as places in that order."""
+    order = np.argsort(table.column("rep").to_numpy(), kind="stable")
+    b, sizes, tokens = table.column("b").to_numpy()[order], table.column("n").to_numpy()[order], table.column("tokens").to_pylist()
+    sets = [np.frombuffer(tokens[i], _U) for i in order.tolist()]
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    probes, held = np.flatnonzero(b == i), np.flatnonzero(b == j)
+    if not len(held) or not len(probes):
+        return order, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = np.fromiter((x for p, q in Trie(sets, sizes, held.tolist()).join(probes, percent) if i != j or p < q for x in (p, q)), np.int64).reshape(-1, 2)
+    return order, got[:, 0], got[:, 1]
+
+
+def _link_tasks(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows' sets, those that may link with their ``set``, the distinct sets with their copies, and these dealt to pairs of blocks."""
+    _, buckets = X.sizes(docs.sparkSession)
+    sets = cut(shingle_sets(docs, n, percent, id_col, text_col).withColumn("set", F.expr("if(f1 is null, null, xxhash64(f1, f2))")))
+    may = sets.where("set is not null")
+    reps = cut(may.groupBy(F.col("set").alias("rep")).agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens", True).alias("tokens")))
+    rooms = cut(_rooms(reps, percent, buckets))
+    inside = rooms.join(reps, "rep")
+    size = F.greatest(F.count("*") / F.lit(BLOCK_DOCS[1]), F.sum(F.octet_length("tokens")) / F.lit(8 * BLOCK_TOKENS))
+    counts = inside.groupBy("room").agg(F.least(F.ceil(size), F.count("*")).cast("int").alias("blocks"))
+    placed = inside.join(counts, "room").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return sets, may, reps, dealt.select("room", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "doc", "copies", "n", "tokens")
+
+
+def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link: (src, dst) once for each linked pair of different sets, and (doc_id, set) of the rows; rows of one set are linked too.
+
+    Rows without a set have no link.
+    """
+    _, may, _, tasks = _link_tasks(docs, n, percent, id_col, text_col)
+
+    def run(table: pa.Table) -> pa.Table:
+        order, p, q = _block_pairs(table, percent)
+        reps = table.column("rep").to_numpy()[order]
+        return pa.table({"src": pa.array(reps[p], pa.int64()), "dst": pa.array(reps[q], pa.int64())})
+
+    return tasks.groupBy("room", "i", "j").applyInArrow(run, "src long, dst long"), may.select("doc_id", "set")
+
+
+def linked_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row the columns of ``near_duplicates`` and n_links, the other rows with a doc_id that are linked with it (null without one).
+
+    Links are counted where they are found; no row per link leaves a task.
+    """
+    sets, may, reps, tasks = _link_tasks(docs, n, percent, id_col, text_col)
+
+    def run(table: pa.Table) -> pa.Table:
+        order, p, q = _block_pairs(table, percent)
+        reps, ids, copies = (table.column(c).to_numpy()[order] for c in ("rep", "doc", "copies"))
+        total = np.zeros(len(reps), np.int64)
+        np.add.at(total, p, copies[q])
+        np.add.at(total, q, copies[p])
+        some = np.flatnonzero(total)
+        tree = np.array(_union(len(reps), zip(p.tolist(), q.tolist())), np.int64).reshape(-1, 2)
+        none = pa.nulls(len(some), pa.int64()), pa.nulls(len(tree), pa.int64())
+        column = lambda x, y: pa.concat_arrays([x, y])
+        return pa.table({"set": column(pa.array(reps[some]), none[1]), "k": column(pa.array(total[some]), none[1]), "src": column(none[0], pa.array(ids[tree[:, 0]])), "dst": column(none[0], pa.array(ids[tree[:, 1]]))})
+
+    found = cut(tasks.groupBy("room", "i", "j").applyInArrow(run, "set long, k long, src long, dst long"))
+    number = reps.select("rep", "doc", "copies").join(found.where("set is not null").groupBy("set").agg(F.sum("k").alias("k")), F.col("rep") == F.col("set"), "left").select("rep", "doc", (F.col("copies") - 1 + F.coalesce("k", F.lit(0))).alias("k"))
+    same = may.join(number, F.col("set") == F.col("rep")).select(F.col("doc_id").alias("src"), F.col("doc").alias("dst")).where("src <> dst")
+    final = connected_components(found.where("src <> dst").select("src", "dst").unionByName(same))
+    rows = sets.select("doc_id", "n_shingles", "set").join(number.select("rep", "k"), F.col("set") == F.col("rep"), "left").join(final, F.col("doc_id") == F.col("node"), "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.expr("if(doc_id is null, null, coalesce(k, 0L))").alias("n_links"))

@@ -82,6 +82,44 @@ def test_trie_finds_all_links(seed):
     assert got == want
 
 
+def linked(rows, n=5, percent=80):
+    """Per row with a doc_id the places of the other such rows that it's linked with."""
+    sets = []
+    for _, t in rows:
+        w = SPLIT.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    good = lambda a, b: a != b and sets[a] and sets[b] and rows[b][0] is not None and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    return [None if i is None else [b for b in range(len(rows)) if good(a, b)] for a, (i, _) in enumerate(rows)]
+
+
+def near_family(n):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    return [(i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(9)}" for w in base)) for i in range(n)]
+
+
+def test_ngram_links(spark, odd, odd_rows, empty, listed, monkeypatch):
+    assert ngram_join.linked_documents(empty).count() == 0
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", (4, 16))
+    family = near_family(120)  # one room of many blocks, not all of which link
+    for df, rows in ((odd, odd_rows), (spark.createDataFrame(family, "doc_id long, text string").repartition(3), family)):
+        want = ordered((*c, None if x is None else len(x)) for c, x in zip(ordered_by_row(rows), linked(rows)))
+        assert listed(ngram_join.linked_documents(df), "doc_id", "n_shingles", "component_id", "n_links") == want
+    pairs, members = (x.collect() for x in ngram_join.links(df))
+    of = {}
+    for r in members:
+        of.setdefault(r.set, []).append(r.doc_id)
+    got = sorted([tuple(sorted((a, b))) for r in pairs for a in of[r.src] for b in of[r.dst]] + [p for x in of.values() for p in itertools.combinations(sorted(x), 2)])
+    assert got == sorted((a, b) for a, x in enumerate(linked(family)) for b in x if a < b) and len(got) > 500
+
+
+def ordered_by_row(rows):
+    """components() in the order of the rows."""
+    of = {r[0]: r[2] for r in components(rows)}
+    count = lambda t: len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if (w := SPLIT.findall((t or "").translate(LOWER))) else 0
+    return [(i, count(t), of[i]) for i, t in rows]
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 
