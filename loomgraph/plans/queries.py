@@ -169,11 +169,11 @@ _REVERSED_SQL = f"""tr AS (SELECT doc_id, ord, s, p, o FROM ({star.sql_triples((
         UNION ALL SELECT doc_id, ord, 'range', EXISTS (SELECT 1 FROM super JOIN rng ON super.a = rng.c WHERE super.c = k.c AND rng.p = tr.p) FROM tr JOIN kind k ON k.sf = tr.o WHERE p IN (SELECT p FROM rng))"""
 
 
-def _conformance(spark, d):
-    t = star.triples(spark, d, ("in", "located in", "has brand")).select("doc_id", "ord", "subject_sf", "predicate_sf", "object_sf")
+def _conformance(spark, d, predicates=("in", "located in", "has brand"), kinds=_CHECKED):
+    t = star.triples(spark, d, predicates).select("doc_id", "ord", "subject_sf", "predicate_sf", "object_sf")
     pairs = star.table(spark, d, "nation").join(star.table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
     t = t.union(pairs.selectExpr("'reversed'", "cast(n_nationkey as long)", "r_name", "'located in'", "n_name")).union(pairs.selectExpr("'reversed'", "cast(1000 + n_nationkey as long)", "n_name", "'borders'", "r_name"))
-    m = star.mentions(spark, d, _CHECKED).select("surface_form", "type_label", "type_uri").distinct()
+    m = star.mentions(spark, d, kinds).select("surface_form", "type_label", "type_uri").distinct()
     ends = t.select("doc_id", F.col("subject_sf").alias("surface_form")).union(t.select("doc_id", "object_sf")).distinct()
     m = ends.join(m, "surface_form").select("doc_id", F.lit(0).cast("long").alias("ord"), "surface_form", "type_label", "type_uri")
     return t, conformance.checks(m, t, star.onto(spark), predicate=True)
@@ -439,3 +439,39 @@ def generate_graph(spark, d):
     corpus = star.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     g = pipeline.generate(corpus)
     return view_model.degrees(g.entities, g.triples).select("node", "degree")
+
+
+# Over the whole graph, all kinds and predicates -------------------------------------------------
+
+_WHOLE_CHECKS_SQL = _REVERSED_SQL.replace(star.sql_triples(("in", "located in", "has brand")), star.sql_triples()).replace(star.sql_mentions(_CHECKED), star.sql_mentions())
+
+
+@query(f'WITH {_onto_sql()}, {_WHOLE_CHECKS_SQL} SELECT doc_id, ord, "check", ok FROM checks')
+def whole_conformance_checks(spark, d):
+    return _conformance(spark, d, None, None)[1].select("doc_id", "ord", "check", "ok")
+
+
+@query(f"WITH {_onto_sql()}, {_WHOLE_CHECKS_SQL} SELECT doc_id, round(avg(CAST(ok AS DOUBLE)), 6) AS score FROM checks GROUP BY doc_id")
+def whole_conformance_score(spark, d):
+    t, checked = _conformance(spark, d, None, None)
+    return conformance.score(t, checked).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT s AS src, o AS dst, arg_max(p, (doc_id, ord)) AS relation FROM ({star.sql_triples()}) GROUP BY s, o")
+def whole_simple_digraph(spark, d):
+    return view_model.simple_digraph(star.triples(spark, d).withColumn("o", F.struct("doc_id", "ord")), "o")
+
+
+@query(f"WITH tr AS ({star.sql_triples()}) SELECT DISTINCT surface_form FROM ({star.sql_mentions()}) WHERE surface_form NOT IN (SELECT s FROM tr UNION SELECT o FROM tr)")
+def whole_isolated_entities(spark, d):
+    return view_model.isolated(*_graph(spark, d))
+
+
+@query(None)
+def whole_components(spark, d):
+    return view_model.components(*_graph(spark, d)).select("node", "component")
+
+
+@query(None)
+def whole_graph_stats(spark, d):
+    return view_model.graph_stats(*_graph(spark, d))
