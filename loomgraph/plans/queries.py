@@ -394,6 +394,25 @@ def rank_fusion(spark, d):
     return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
 
 
+def _cosines(spark, d) -> DataFrame:
+    """(query_id, id, cosine) of every item that has a vector with every vector."""
+    v = star.table(spark, d, "embeddings")
+    items = star.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+    x = items.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+    return x.crossJoin(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).select("query_id", "id", cosine(F.col("qv"), F.col("v")).alias("cosine"))
+
+
+@query(
+    f"""WITH {_BM25_SQL}, c AS (SELECT i.item_id, b.vec_id AS doc_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS c FROM (SELECT DISTINCT item_id FROM benchmark) i JOIN embeddings a ON a.vec_id = i.item_id CROSS JOIN embeddings b),
+    f AS (SELECT item_id, doc_id, 0.5 * coalesce(s, 0) + 0.5 * coalesce(c, 0) AS score FROM (SELECT item_id, doc_id, round(s, 4) AS s FROM bm) FULL JOIN c USING (item_id, doc_id))
+    SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 16"""
+)
+def whole_rank_fusion(spark, d):
+    """rank_fusion with the candidates of either side: of the words alone, or of the vectors alone."""
+    out = retrieval.fuse(_bm25(spark, d).withColumn("bm25", F.round("bm25", 4)), _cosines(spark, d).withColumn("cosine", F.round("cosine", 6)), 16, 0.5)
+    return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
+
+
 @query(None)
 def chunk_pack(spark, d):
     return chunk.chunk(star.table(spark, d, "documents"), 500).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
