@@ -38,5 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == before:
             break
         before = now
+    else:
+        if before[0]:
+            raise RuntimeError(f"components haven't converged in {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -208,3 +208,10 @@ def test_usage(spark):
     assert rows(stats.usage(calls), "step", "prompt_tokens", "completion_tokens", "total_tokens") == {("a", 4, 6, 12), ("b", 5, 6, 11), (None, 9, 12, 23)}
     h = spark.createDataFrame([("a", "ok"), ("b", "名"), ("c", "x" * 2000)], "name string, value string")
     assert rows(stats.headers(h), "name") == {("a",)}
+
+
+def test_components_raise_unfinished(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(path, max_rounds=1)
+    assert {r.component for r in connected_components(path).collect()} == {0}
