@@ -24,13 +24,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the smallest doc_id stays; rows without doc_id have no component and stay.
+    """N-gram Jaccard join: of each component the row of the smallest doc_id stays; rows without doc_id have no component and stay.
 
-    Of rows that share a doc_id, which are one node, one stays.
+    Rows that share a doc_id are told apart by their text; of rows alike in both, one stays.
     """
-    best = ngram_join.near_duplicates(docs, n=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("__of")).distinct()
-    named = docs.where("doc_id is not null").join(best, F.col("doc_id") == F.col("__of"), "left_semi")
-    one = named.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
+    named = docs.where("doc_id is not null").withColumn("__node", F.xxhash64("doc_id", "text"))
+    found = ngram_join.near_duplicates(named, n=5, percent=80, id_col="__node").select(F.col("doc_id").alias("__node"), "component_id").distinct()
+    best = found.join(named.select("__node", "doc_id"), "__node").groupBy("component_id").agg(F.min(F.struct("doc_id", "__node")).getField("__node").alias("__node"))
+    kept = named.join(best, "__node", "left_semi")
+    one = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("__node"))).where("__n = 1").drop("__n", "__node")
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -120,3 +120,10 @@ def test_pipeline_takes_odd_rows(spark, odd_rows):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = corpus_pipeline.stored(stage(spark, docs, DATA))
     assert docs.where("doc_id = 1").count() == 1 and docs.where("doc_id = 60").count() == 1
+
+
+def test_keep_one_tells_shared_ids_apart(spark):
+    rows = [(7, "one two three four five six"), (7, "one two three four five six"), (7, "wholly different words stand in this row"), (8, "ONE two three four five six"), (None, "one two three four five six"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.keep_one(spark, df, "").collect()))
+    assert got == [(0, rows[0][1]), (7, rows[0][1]), (7, rows[2][1]), (9, "")]
