@@ -1,8 +1,11 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is four grouped joins; the edge set never grows, converges in
-O(log^2 n) rounds whatever the diameter, and is checkpointed so that lineage stays
-flat and a lost executor costs one round at most.
+Every round is four grouped joins; the edge set never grows and converges in
+O(log^2 n) rounds whatever the diameter.  A round's edges are stored in the shared
+folder, so that lineage stays flat and a lost executor costs one round at most, and
+the round before is deleted.  A node with many edges, such as the centre of a star,
+doesn't gather them in one task: its least neighbour is aggregated in the map tasks
+first and goes to its edges by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -10,31 +13,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut
+from loomgraph.session import drop, kept
+
+from .skew import heavy_join
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(a, b, m): each edge with the least neighbour of its end a."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+    return heavy_join(edges, least, ["a"], "k", total)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of an edge; component: its smallest reachable node.
 
     Null ends are ignored; a self-loop alone makes its node a component; order of
     edges and repeats don't matter; no edges, no rows.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    e = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e, path = kept(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(e)
     for _ in range(max_rounds if before[0] else 0):
         both = e.where("a <> b").unionAll(e.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        alone = e.where("a = b")
-        e = cut(small.unionAll(least.select("a", F.col("m").alias("b"))).unionAll(alone).distinct())
+        large = _with_least(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large, before[0])
+        turned = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e, last = kept(turned.unionAll(small.select("a", F.col("m").alias("b"))).unionAll(e.where("a = b")).distinct())
         now = _mark(e)
+        drop(spark, path)
+        path = last
         if now == before:
             break
         before = now

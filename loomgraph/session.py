@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that cluster or session names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that cluster or session names in spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return named or sc.getCheckpointDir()
 
@@ -25,17 +27,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored``, and where: for ``drop``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to a Parquet table beside the checkpoints and read again; it goes when the application ends.
 
     Against a checkpoint it is compressed, and later reads take only the columns they use.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing will read any more."""
+    where, fs = _path(spark, path)
+    fs.delete(where, True)
 
 
 _SHIPPED: set[str] = set()
