@@ -15,17 +15,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sizes(spark: SparkSession) -> tuple[int, int]:
-    """Numbers of chunks and buckets: both follow spark.sql.shuffle.partitions, which follows the input."""
-    p = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text in a chunk and of hashes in a bucket, about, where the input is large.
+CHUNK_BYTES, BUCKET_BYTES = 64 << 20, 128 << 20
+#: Most buckets: a chunk sends each a row, so more would make the rows small.
+MOST_BUCKETS = 1 << 16
+
+
+def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of the input: as the plan's files have them, or else counted."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else int(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
+
+
+def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Numbers of chunks and buckets: they follow the input's bytes, and spark.sql.shuffle.partitions where it asks for more."""
+    p, size = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), input_bytes(docs, text_col)
     buckets = 16
-    while buckets < p:
+    while buckets < max(p, size / BUCKET_BYTES) and buckets < MOST_BUCKETS:
         buckets *= 2
-    return 2 * p, min(buckets, 1 << 16)
+    return max(2 * p, -(-size // CHUNK_BYTES)), buckets
 
 
 def dealt(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,46 +7,45 @@
    is put in one global order, rare shingles first.
 3. By the prefix principle two linked sets share a shingle of their prefixes.
    Shared prefix shingles join representatives into rooms; rooms are cut into
-   blocks of bounded size.
-4. In a room the ordered sets form a trie, path-compressed; all probing sets
+   blocks of bounded size, so large that sending a block costs little beside
+   comparing it with another.
+4. Every block of a room meets itself and every other block in a task of its own. The
+   ordered sets of one block form a trie, path-compressed; all sets of the other
    descend together, sharing the overlaps of common paths, and leave a subtree as
    soon as the shingles remaining on either side can't reach the overlap needed.
-5. The first pass joins each block with itself and with block 0 of its room; only
-   documents that this leaves outside their room's largest class meet the rest.
-   Linked pairs inside a class needn't be found: classes are connected components.
+5. A task counts the links it finds and sends a spanning forest of them on, so no row
+   per link leaves it; components are those of the forests.
 
-``links`` and ``linked_documents`` enumerate every linked pair instead: each block
-of a room meets itself and every other block of the room.
+``links`` enumerates every linked pair of different sets instead.
 
 Defined cases: null or empty text, or one of separators alone: an empty set,
 linked with nothing; fewer words than ``n``: the whole sequence is one shingle;
 rows that share a doc_id are one node; a row without doc_id keeps its n_shingles
-and has no component; an empty table gives an empty table.
+and has no component and no number of links; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.session import cut
+from loomgraph.operators.skew import heavy_join
+from loomgraph.session import stored
 
 from . import _exchange as X
 from . import _vec as V
 
 _VALUES = V.byte_values(1, fold_case=True)
 _U = np.uint64
-#: Documents in a block of a room, at least and at most.
-BLOCK_DOCS = (32, 256)
-#: Shingles in a block of a room where all blocks meet, on average at most.
-BLOCK_TOKENS = 1 << 17
-#: Tasks over which the rows of a room are dealt.
-SALTS = 16
+#: Sets and shingles in a block of a room, on average at most.
+BLOCK_DOCS, BLOCK_TOKENS = 8192, 1 << 20
 #: Bytes of the matrix of probing sets by shingles at a time.
-MATRIX_BYTES = 8 << 20
+MATRIX_BYTES = 16 << 20
 
 
 def shingle_pairs(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,17 +97,19 @@ def _frequencies(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, chunks: int | None = None, buckets: int | None = None) -> DataFrame:
-    """Per row doc_id and n_shingles; of those that may have a link also the set's fingerprint and its ordered shared shingles.
+    """A row for each set of a chunk that may have a link: its documents, the set's two fingerprints, its size and its ordered shared shingles.
 
-    Only one row of a chunk carries the shingles of a set that several rows have.
+    The other documents, and rows without doc_id, are in one row per chunk, without
+    fingerprints and with a size each.
     """
-    a, b = X.sizes(docs.sparkSession)
+    a, b = X.sizes(docs, text_col)
     chunks, buckets = chunks or a, buckets or b
     bits = buckets.bit_length() - 1
     dealt = X.dealt(docs, chunks, id_col, text_col)
+    names = ["docs", "sizes", "f1", "f2", "n", "tokens"]
+    types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def use(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, types = ["doc_id", "n_shingles", "f1", "f2", "tokens"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         if not left.num_rows:
             return X.batches([], names, types)
         _, ids, texts = X.rows_of(left)
@@ -121,43 +122,38 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
         f2 = np.concatenate((np.zeros(1, _U), np.cumsum(V.mix(key ^ _U(0x5851F42D4C957F2D)), dtype=_U)))
         f1, f2 = ((f[at[1:]] - f[at[:-1]]).astype(np.int64).tolist() for f in (f1, f2))
         shared = np.concatenate(([0], np.cumsum(level >= 2)))
-        rows, seen = [], set()
+        alone, sets = ([], []), {}
         for i, doc in enumerate(ids):
             lo, hi = at[i], at[i + 1]
             size, common = int(hi - lo), int(shared[hi] - shared[lo])
             if doc is None or not size or 100 * common < percent * size:
-                rows.append((doc, size, None, None, None))
+                alone[0].append(doc)
+                alone[1].append(size)
                 continue
             mark = (f1[i], f2[i])
-            tokens = None
-            if mark not in seen:
-                seen.add(mark)
+            if mark not in sets:
                 keep = level[lo:hi] >= 2
                 # one global order: by frequency, then by hash; the frequency takes the upper six bits
                 tokens = np.sort((level[lo:hi][keep].astype(_U) << _U(58)) | (key[lo:hi][keep] >> _U(6))).tobytes()
-            rows.append((doc, size, *mark, tokens))
-        return X.batches(rows, names, types)
+                sets[mark] = ([], None, *mark, size, tokens)
+            sets[mark][0].append(doc)
+        return X.batches([(*alone, None, None, None, None), *sets.values()], names, types)
 
-    return X.gather(dealt, _frequencies(dealt, n, buckets), use, "doc_id long, n_shingles long, f1 long, f2 long, tokens binary")
+    return X.gather(dealt, _frequencies(dealt, n, buckets), use, "docs array<long>, sizes array<long>, f1 long, f2 long, n long, tokens binary")
 
 
-def _union(n: int, pairs) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs."""
-    root = list(range(n))
+class Forest:
+    """A spanning forest of links, taken as they come."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def __init__(self, n: int):
+        self.label, self.links = np.arange(n), []
 
-    out = []
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    def add(self, one: int, many: np.ndarray) -> None:
+        label = self.label
+        for i in many[label[many] != label[one]].tolist():
+            if label[i] != label[one]:
+                self.links.append((one, i))
+                label[label == label[i]] = label[one]
 
 
 class Trie:
@@ -165,9 +161,9 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, members: list[int] | None = None):
         """All sets may probe; the tree holds those of ``members`` only, or all."""
-        order = sorted(range(len(sets)) if members is None else members, key=lambda i: sets[i].astype(">u8").tobytes())
+        self.members = sorted(range(len(sets)) if members is None else members, key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets, self.sizes = sets, sizes
-        self.root = self._node(order, 0)
+        self.root = self._node(self.members, 0) if self.members else None
 
     def _node(self, members: list[int], depth: int) -> dict:
         """Iterative descent over long paths; recursion only where sets part."""
@@ -186,17 +182,27 @@ class Trie:
             at = to
         return node
 
-    def join(self, probes: np.ndarray, percent: int):
-        """Pairs (probe, set) with 100 * intersection >= percent * union, the pair with itself left out."""
-        tokens = np.unique(np.concatenate([self.sets[i] for i in probes])) if len(probes) else np.zeros(0, _U)
-        step = max(1, MATRIX_BYTES // max(1, len(tokens)))
+    def join(self, probes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """A set of the tree and the probes linked with it, 100 * intersection >= percent * union, itself left out; a set may come repeatedly."""
+        if not self.members or not len(probes):
+            return
+        # a shingle counts only where a probe and a set of the tree both may have it
+        tokens, many = np.unique(np.concatenate([self.sets[i] for i in self.members]), return_counts=True)
+        asked, often = np.unique(np.concatenate([self.sets[i] for i in probes]), return_counts=True)
+        tokens, x, y = np.intersect1d(tokens, asked, assume_unique=True, return_indices=True)
+        if len(probes) == len(self.members) and np.array_equal(np.sort(probes), np.sort(self.members)):
+            tokens = tokens[many[x] > 1]
+        step = max(1, MATRIX_BYTES // (5 * max(1, len(tokens))))
         for lo in range(0, len(probes), step):
             yield from self._join(probes[lo : lo + step], tokens, percent)
 
     def _join(self, probes: np.ndarray, tokens: np.ndarray, percent: int):
         has = np.zeros((len(probes), len(tokens)), np.uint8)
         for r, i in enumerate(probes):
-            has[r, np.searchsorted(tokens, self.sets[i])] = 1
+            mine = self.sets[i]
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, mine), len(tokens) - 1)
+                has[r, at[tokens[at] == mine]] = 1
         passed = np.zeros((len(probes), len(tokens) + 1), np.int32)
         np.cumsum(has, axis=1, dtype=np.int32, out=passed[:, 1:])
         size, total = self.sizes[probes].astype(np.int64), passed[:, -1]
@@ -204,19 +210,19 @@ class Trie:
         while stack:
             node, live, overlap = stack.pop()
             path = node["path"]
-            if len(path):
+            left = total[live]
+            if len(path) and len(tokens):
                 at = np.minimum(np.searchsorted(tokens, path), len(tokens) - 1)
                 at = at[tokens[at] == path]
                 if len(at):
                     overlap = overlap + has[np.ix_(live, at)].sum(axis=1)
-                left = total[live] - passed[live, np.searchsorted(tokens, path[-1], side="right")]
-            else:
-                left = total[live]
+                left = left - passed[live, np.searchsorted(tokens, path[-1], side="right")]
             for i in node["ends"]:
                 good = (100 + percent) * overlap >= percent * (size[live] + int(self.sizes[i]))
-                for r in live[good].tolist():
-                    if probes[r] != i:
-                        yield int(probes[r]), i
+                found = probes[live[good]]
+                found = found[found != i]
+                if len(found):
+                    yield i, found
             if node["children"]:
                 can = overlap + np.minimum(left, node["longest"])
                 fits = ((100 + percent) * can >= percent * (size[live] + node["least"])) & (100 * np.minimum(size[live], node["most"]) >= percent * np.maximum(size[live], node["least"]))
@@ -226,31 +232,14 @@ class Trie:
                         stack.append((self._node(members, depth), live, overlap))
 
 
-def _room_links(table: pa.Table, percent: int) -> pa.Table:
-    """Spanning links of a room of (rep, n, tokens, probe)."""
-    reps = table.column("rep").to_numpy()
-    order = np.argsort(reps, kind="stable")
-    reps = reps[order]
-    first = np.ones(len(reps), bool)
-    first[1:] = reps[1:] != reps[:-1]  # a set may come both to probe and to be found
-    probe = np.maximum.reduceat(table.column("probe").to_numpy()[order].astype(np.int8), np.flatnonzero(first)).astype(bool)
-    order, reps = order[first], reps[first]
-    tokens, sizes = table.column("tokens").to_pylist(), table.column("n").to_numpy()[order]
-    sets = [np.frombuffer(tokens[i], _U) for i in order.tolist()]
-    kept = _union(len(reps), Trie(sets, sizes).join(np.flatnonzero(probe), percent)) if len(reps) > 1 else []
-    a = np.array([x for x, _ in kept], np.int64)
-    b = np.array([y for _, y in kept], np.int64)
-    return pa.table({"src": pa.array(reps[a] if len(a) else [], pa.int64()), "dst": pa.array(reps[b] if len(b) else [], pa.int64())})
-
-
 def _rooms(reps: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(rep, room): representatives that share a prefix shingle, directly or through others."""
+    """(doc, room): sets, by their smallest document, that share a prefix shingle, directly or through others."""
 
     def send(batches):
         bits = buckets.bit_length() - 1
         for batch in batches:
             parts, ids, sizes = [], [], []
-            for rep, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "tokens"))):
+            for rep, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "tokens"))):
                 t = np.frombuffer(tokens, _U)
                 prefix = n - (percent * n + 99) // 100 + 1 - (n - len(t))
                 if prefix > 0:
@@ -272,116 +261,83 @@ def _rooms(reps: DataFrame, percent: int, buckets: int) -> DataFrame:
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])  # too far apart in size: no link across
         head = np.repeat(doc[new], np.diff(np.flatnonzero(new), append=len(key)))
-        e = np.unique(np.stack((doc, head))[:, doc != head], axis=1)
+        e = np.unique(np.stack((doc, head))[:, ~new], axis=1)
         return pa.table({"src": pa.array(e[0], pa.int64()), "dst": pa.array(e[1], pa.int64())})
 
-    edges = reps.select("rep", "n", "tokens").mapInArrow(send, "bucket int, keys binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(star, "src long, dst long")
-    return connected_components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "room")
+    edges = reps.select("doc", "n", "tokens").mapInArrow(send, "bucket int, keys binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(star, "src long, dst long")
+    return connected_components(edges).withColumnRenamed("node", "doc").withColumnRenamed("component", "room")
 
 
-def _spread(rows: DataFrame, per_room: DataFrame) -> DataFrame:
-    """A join by room that deals a large room's rows over several tasks; per_room has a row for each room of several blocks."""
-    salted = rows.withColumn("__s", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    return salted.join(per_room.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["room", "__s"]).drop("__s")
+def _link_tasks(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``shingle_sets``, the distinct sets with their smallest document and their copies, and these dealt to pairs of blocks."""
+    sets = stored(shingle_sets(docs, n, percent, id_col, text_col))
+    may = sets.where("f1 is not null")
+    reps = stored(may.groupBy("f1", "f2").agg(F.min(F.array_min("docs")).alias("doc"), F.sum(F.size("docs")).alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    inside = _rooms(reps, percent, X.sizes(docs, text_col)[1]).join(reps, "doc")
+    size = F.greatest(F.count("*") / F.lit(BLOCK_DOCS), F.sum(F.octet_length("tokens")) / F.lit(8 * BLOCK_TOKENS))
+    inside = stored(inside)
+    # few rooms have several blocks, and the others need no number
+    several = inside.groupBy("room").agg(F.count("*").alias("m"), F.least(F.ceil(size), F.count("*")).cast("int").alias("blocks")).where("blocks > 1")
+    placed = heavy_join(inside, several, ["room"], "m", reps.count(), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("f1", "f2"), "blocks").cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return sets, reps, dealt.select("room", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "f1", "f2", "doc", "copies", "n", "tokens")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
-    _, buckets = X.sizes(docs.sparkSession)
-    sets = cut(shingle_sets(docs, n, percent, id_col, text_col))
-    may = sets.where("f1 is not null")
-    reps = cut(may.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens", True).alias("tokens")))
-    rooms = cut(_rooms(reps, percent, buckets))
-    low, high = BLOCK_DOCS
-    counts = rooms.groupBy("room").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / F.least(F.greatest(F.ceil(F.col("m") / 80), F.lit(low)), F.lit(high))).cast("int"))
-    placed = cut(
-        rooms.join(counts, "room").join(reps.withColumnRenamed("rep", "rep2"), F.col("rep") == F.col("rep2")).select("room", "blocks", "m", "rep", "n", "tokens", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("b"))
-    )
-    links = lambda df, *by: df.groupBy(*by).applyInArrow(lambda t: _room_links(t, percent), "src long, dst long")
-    first = placed.select("room", "rep", "n", "tokens", F.explode(F.when(F.col("b") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("b"))).alias("j"), F.col("b").alias("b"))
-    first = cut(links(first.withColumn("probe", F.col("b") == F.col("j")), "room", "j"))
-    # what the first pass has left outside the largest class of its room meets every block of it
-    classes = connected_components(first)
-    light = placed.where("blocks > 1").select("room", "blocks", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = light.groupBy("room", "component").agg(F.count("*").alias("k"))
-    major = sizes.groupBy("room").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
-    minor = _spread(light, major).where("component <> major").select("room", "rep", "blocks")
-    per = minor.groupBy("room").agg(F.count("*").alias("k"), F.first("blocks").alias("blocks")).select("room", F.ceil(F.col("k") / F.lit(low)).cast("int").alias("minors"))
-    minor = cut(_spread(minor, per).select("room", "rep", "minors"))
-    body = placed.where("blocks > 1").select("room", "blocks", "rep", "n", "tokens", "b")
-    probing = body.join(minor, ["room", "rep"]).select("room", "rep", "n", "tokens", F.pmod(F.xxhash64("rep", F.lit(1)), "minors").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("probe"))
-    found = _spread(body, minor.select("room", "minors").distinct()).select("room", "rep", "n", "tokens", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("a"), F.col("b").alias("j"), F.lit(False).alias("probe"))
-    second = links(probing.unionByName(found), "room", "a", "j")
-    same = may.join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
-    final = connected_components(first.unionByName(second).unionByName(same))
-    return sets.select("doc_id", "n_shingles").join(final, sets["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _block_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sets' order in the table, and all linked pairs of a task's two blocks (or within its only one), each once, as places in that order."""
-    order = np.argsort(table.column("rep").to_numpy(), kind="stable")
+def _meet(table: pa.Table, percent: int) -> tuple[np.ndarray, bool, Iterator[tuple[int, np.ndarray]]]:
+    """The sets' order in the table; whether each link comes from both its ends; a set and those linked with it, as places in that order."""
+    order = np.lexsort((table.column("f2").to_numpy(), table.column("f1").to_numpy()))
     b, sizes, tokens = table.column("b").to_numpy()[order], table.column("n").to_numpy()[order], table.column("tokens").to_pylist()
     sets = [np.frombuffer(tokens[i], _U) for i in order.tolist()]
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    probes, held = np.flatnonzero(b == i), np.flatnonzero(b == j)
-    if not len(held) or not len(probes):
-        return order, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = np.fromiter((x for p, q in Trie(sets, sizes, held.tolist()).join(probes, percent) if i != j or p < q for x in (p, q)), np.int64).reshape(-1, 2)
-    return order, got[:, 0], got[:, 1]
-
-
-def _link_tasks(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """All rows' sets, those that may link with their ``set``, the distinct sets with their copies, and these dealt to pairs of blocks."""
-    _, buckets = X.sizes(docs.sparkSession)
-    sets = cut(shingle_sets(docs, n, percent, id_col, text_col).withColumn("set", F.expr("if(f1 is null, null, xxhash64(f1, f2))")))
-    may = sets.where("set is not null")
-    reps = cut(may.groupBy(F.col("set").alias("rep")).agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens", True).alias("tokens")))
-    rooms = cut(_rooms(reps, percent, buckets))
-    inside = rooms.join(reps, "rep")
-    size = F.greatest(F.count("*") / F.lit(BLOCK_DOCS[1]), F.sum(F.octet_length("tokens")) / F.lit(8 * BLOCK_TOKENS))
-    counts = inside.groupBy("room").agg(F.least(F.ceil(size), F.count("*")).cast("int").alias("blocks"))
-    placed = inside.join(counts, "room").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return sets, may, reps, dealt.select("room", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "doc", "copies", "n", "tokens")
+    return order, i == j, Trie(sets, sizes, np.flatnonzero(b == j).tolist()).join(np.flatnonzero(b == i), percent)
 
 
 def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Every link: (src, dst) once for each linked pair of different sets, and (doc_id, set) of the rows; rows of one set are linked too.
+    """Every link: (f1, f2, g1, g2) once for each linked pair of different sets, and (doc_id, f1, f2) of the rows; rows of one set are linked too.
 
     Rows without a set have no link.
     """
-    _, may, _, tasks = _link_tasks(docs, n, percent, id_col, text_col)
-
-    def run(table: pa.Table) -> pa.Table:
-        order, p, q = _block_pairs(table, percent)
-        reps = table.column("rep").to_numpy()[order]
-        return pa.table({"src": pa.array(reps[p], pa.int64()), "dst": pa.array(reps[q], pa.int64())})
+    sets, _, tasks = _link_tasks(docs, n, percent, id_col, text_col)
 
-    return tasks.groupBy("room", "i", "j").applyInArrow(run, "src long, dst long"), may.select("doc_id", "set")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        order, both, found = _meet(table, percent)
+        f1, f2 = (table.column(c).to_numpy()[order] for c in ("f1", "f2"))
+        for one, many in found:
+            many = many[many > one] if both else many
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(many), f1[one]), np.full(len(many), f2[one]), f1[many], f2[many])], names=["f1", "f2", "g1", "g2"])
 
+    pairs = tasks.groupBy("room", "i", "j").applyInArrow(run, "f1 long, f2 long, g1 long, g2 long")
+    return pairs, sets.where("f1 is not null").select(F.explode("docs").alias("doc_id"), "f1", "f2")
 
-def linked_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row the columns of ``near_duplicates`` and n_links, the other rows with a doc_id that are linked with it (null without one).
 
-    Links are counted where they are found; no row per link leaves a task.
-    """
-    sets, may, reps, tasks = _link_tasks(docs, n, percent, id_col, text_col)
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included) and n_links (other rows with a doc_id that it's linked with)."""
+    sets, reps, tasks = _link_tasks(docs, n, percent, id_col, text_col)
 
     def run(table: pa.Table) -> pa.Table:
-        order, p, q = _block_pairs(table, percent)
-        reps, ids, copies = (table.column(c).to_numpy()[order] for c in ("rep", "doc", "copies"))
-        total = np.zeros(len(reps), np.int64)
-        np.add.at(total, p, copies[q])
-        np.add.at(total, q, copies[p])
-        some = np.flatnonzero(total)
-        tree = np.array(_union(len(reps), zip(p.tolist(), q.tolist())), np.int64).reshape(-1, 2)
+        order, both, found = _meet(table, percent)
+        f1, f2, ids, copies = (table.column(c).to_numpy()[order] for c in ("f1", "f2", "doc", "copies"))
+        total, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        for one, many in found:
+            total[one] += copies[many].sum()
+            if not both:
+                total[many] += copies[one]
+            forest.add(one, many)
+        some, tree = np.flatnonzero(total), np.array(forest.links, np.int64).reshape(-1, 2)
         none = pa.nulls(len(some), pa.int64()), pa.nulls(len(tree), pa.int64())
-        column = lambda x, y: pa.concat_arrays([x, y])
-        return pa.table({"set": column(pa.array(reps[some]), none[1]), "k": column(pa.array(total[some]), none[1]), "src": column(none[0], pa.array(ids[tree[:, 0]])), "dst": column(none[0], pa.array(ids[tree[:, 1]]))})
-
-    found = cut(tasks.groupBy("room", "i", "j").applyInArrow(run, "set long, k long, src long, dst long"))
-    number = reps.select("rep", "doc", "copies").join(found.where("set is not null").groupBy("set").agg(F.sum("k").alias("k")), F.col("rep") == F.col("set"), "left").select("rep", "doc", (F.col("copies") - 1 + F.coalesce("k", F.lit(0))).alias("k"))
-    same = may.join(number, F.col("set") == F.col("rep")).select(F.col("doc_id").alias("src"), F.col("doc").alias("dst")).where("src <> dst")
-    final = connected_components(found.where("src <> dst").select("src", "dst").unionByName(same))
-    rows = sets.select("doc_id", "n_shingles", "set").join(number.select("rep", "k"), F.col("set") == F.col("rep"), "left").join(final, F.col("doc_id") == F.col("node"), "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.expr("if(doc_id is null, null, coalesce(k, 0L))").alias("n_links"))
+        counts = [pa.concat_arrays([pa.array(x[some]), none[1]]) for x in (f1, f2, total)]
+        return pa.table([*counts, *(pa.concat_arrays([none[0], pa.array(ids[tree[:, k]])]) for k in (0, 1))], names=["f1", "f2", "k", "src", "dst"])
+
+    found = stored(tasks.groupBy("room", "i", "j").applyInArrow(run, "f1 long, f2 long, k long, src long, dst long"))
+    number = reps.select("f1", "f2", "doc", "copies").join(found.where("f1 is not null").groupBy("f1", "f2").agg(F.sum("k").alias("k")), ["f1", "f2"], "left")
+    # a doc_id of several rows may have several sets, and joins them
+    each = sets.where("f1 is not null").select(F.explode("docs").alias("d"), "f1", "f2")
+    several = each.groupBy("d").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("d")
+    shared = each.join(several, "d").join(reps.select("f1", "f2", "doc"), ["f1", "f2"]).select(F.col("d").alias("src"), F.col("doc").alias("dst"))
+    classes = connected_components(found.where("src is not null").select("src", "dst").unionByName(shared))
+    known = number.join(classes, F.col("doc") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "doc").alias("component_id"), (F.col("copies") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), "copies")
+    linked = heavy_join(sets.where("f1 is not null").select("docs", "n", "f1", "f2"), known, ["f1", "f2"], "copies", reps.agg(F.sum("copies")).first()[0] or 0)
+    linked = linked.select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = sets.where("f1 is null").select(F.explode(F.arrays_zip("docs", "sizes")).alias("x"))
+    return linked.unionByName(alone.select(F.col("x.docs").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.docs").alias("component_id"), F.expr("if(x.docs is null, null, 0L)").alias("n_links")))

@@ -21,10 +21,6 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
-def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked_documents(_table(spark, sf_dir, "documents"), n=5, percent=80)
-
-
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -73,7 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
-    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,7 +86,7 @@ ORACLE_SQL: dict[str, str] = {
         link AS (SELECT a, b FROM pair JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
         e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
         reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
-        SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a""",
+        SELECT reach.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, (SELECT count(*) FROM e WHERE e.a = reach.a) AS n_links FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY reach.a""",
     "op5_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents), i AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
         t AS (SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),

@@ -54,7 +54,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
 
     ``spans`` holds maximal [start, end) word intervals as a flat array.
     """
-    a, b = X.sizes(docs.sparkSession)
+    a, b = X.sizes(docs, text_col)
     chunks, buckets = chunks or a, buckets or b
     dealt = X.dealt(docs, chunks, id_col, text_col)
 

@@ -20,7 +20,8 @@ doc_id, or earlier in the same document) is found and removed.
 Defined cases: null text is empty; shorter texts lose nothing; matches never cross
 documents; rows that share a doc_id are ordered by a hash and their text, so that a
 repeated row is removed once; rows without doc_id come last; an empty table gives an
-empty table; other columns are ignored.
+empty table; other columns are ignored; ``length`` is at most ``MOST``, and a chunk
+of 4 GiB or more is refused rather than cut.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ _U = np.uint64
 _VALUES = V.byte_values(2)
 _TILE = 1 << 19
 _LAST = np.iinfo(np.int64).max
+#: Longest ``length``: a region's windows and distances are kept in a byte each.
+MOST = 500
 
 
 def regions(buf: np.ndarray, at: np.ndarray, length: int):
@@ -189,7 +192,9 @@ def _spans(region: np.ndarray) -> np.ndarray:
 
 def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", *, chunks: int | None = None, buckets: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, spans (flat start, end, in bytes) and kept_sha256."""
-    a, b = X.sizes(docs.sparkSession)
+    if not 2 <= length <= MOST:
+        raise ValueError(f"length must be from 2 to {MOST}")
+    a, b = X.sizes(docs, text_col)
     chunks, buckets = chunks or a, buckets or b
     dealt = X.dealt(docs, chunks, id_col, text_col)
     binary = pa.binary()
@@ -198,6 +203,8 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         """Of each chunk the first region of each content; the others of the chunk are repeated as a whole."""
         chunk, ids, texts = X.rows_of(table)
         buf, at = V.pack(texts)
+        if len(buf) >= 1 << 32:
+            raise ValueError("a chunk of 4 GiB or more: raise spark.sql.shuffle.partitions")
         p, d, c, key, content = regions(buf, at, length)
         bucket = (key >> _U(44)).astype(np.int64) % buckets
         order = np.lexsort((p, content, key))

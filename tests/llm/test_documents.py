@@ -56,7 +56,7 @@ def test_ngram_join(odd, odd_rows, empty, listed):
 
 def test_ngram_join_large_room(spark, listed, monkeypatch):
     """More near copies than a block holds, many of them not linked with each other."""
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", (4, 8))
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(100)]
     rows = []
@@ -77,7 +77,7 @@ def test_trie_finds_all_links(seed):
         extra = set(sets[i].tolist()) ^ {rng.randrange(60)}
         sets.append(np.array(sorted(extra or {1}), np.uint64))
     sizes = np.array([len(s) for s in sets])
-    got = {tuple(sorted(p)) for p in ngram_join.Trie(sets, sizes).join(np.arange(len(sets)), 80)}
+    got = {tuple(sorted((i, int(p)))) for i, many in ngram_join.Trie(sets, sizes).join(np.arange(len(sets)), 80) for p in many}
     want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 80 * len({*sets[i].tolist()} | {*sets[j].tolist()})}
     assert got == want
 
@@ -99,20 +99,43 @@ def near_family(n):
 
 
 def test_ngram_links(spark, odd, odd_rows, empty, listed, monkeypatch):
-    assert ngram_join.linked_documents(empty).count() == 0
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", (4, 16))
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 16)
     family = near_family(120)  # one room of many blocks, not all of which link
     for df, rows in ((odd, odd_rows), (spark.createDataFrame(family, "doc_id long, text string").repartition(3), family)):
         want = ordered((*c, None if x is None else len(x)) for c, x in zip(ordered_by_row(rows), linked(rows)))
-        assert listed(ngram_join.linked_documents(df), "doc_id", "n_shingles", "component_id", "n_links") == want
+        assert listed(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id", "n_links") == want
     pairs, members = (x.collect() for x in ngram_join.links(df))
     of = {}
     for r in members:
-        of.setdefault(r.set, []).append(r.doc_id)
-    got = sorted([tuple(sorted((a, b))) for r in pairs for a in of[r.src] for b in of[r.dst]] + [p for x in of.values() for p in itertools.combinations(sorted(x), 2)])
+        of.setdefault((r.f1, r.f2), []).append(r.doc_id)
+    got = sorted([tuple(sorted((a, b))) for r in pairs for a in of[r.f1, r.f2] for b in of[r.g1, r.g2]] + [p for x in of.values() for p in itertools.combinations(sorted(x), 2)])
     assert got == sorted((a, b) for a, x in enumerate(linked(family)) for b in x if a < b) and len(got) > 500
 
 
+def test_ngram_join_of_near_copies_that_hardly_link(spark):
+    """2,000 copies of one text, each with other words changed: one room, few links; counts against brute force, and disk in proportion."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for k in rng.sample(range(150), 1 + i % 4):
+            w[k] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(146)} for _, t in rows for w in [t.split()]]
+    place = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((2000, len(place)), np.float32)
+    for r, s in zip(m, sets):
+        r[[place[g] for g in s]] = 1
+    both, size = m @ m.T, m.sum(axis=1)
+    good = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(good, False)
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i].n_links for i in range(2000)] == good.sum(axis=1).tolist() and 0 < good.sum() < 2000 * 1999 / 4
+    for i, j in zip(*np.nonzero(good)):
+        assert got[i].component_id == got[j].component_id <= i
+
+
 def ordered_by_row(rows):
     """components() in the order of the rows."""
     of = {r[0]: r[2] for r in components(rows)}
