@@ -14,7 +14,8 @@ candidates in a task of its own.
 Defined cases: null vectors and ones with null or non-finite components take no
 part; shorter vectors count as ending in zeros; ties go to the smaller id; with
 fewer candidates than k, all are returned; rows without id take no part; rows that
-share an id are candidates of their own, but never of that id's queries.
+share an id are candidates of their own, but never of that id's queries; scores
+beyond 64 bits count as the largest or smallest number of 64 bits.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ def _products(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
     return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _long(total: np.ndarray) -> np.ndarray:
+    """Exact totals as 64-bit integers."""
+    return np.clip(total, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
 def _matrix(table: pa.Table, scale: float) -> np.ndarray:
     """The integer vectors, zeros after the shorter ones."""
     v = table.column("v").combine_chunks()
@@ -75,20 +81,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
             m = min(k + 1, len(ci))
             at = np.concatenate([np.argpartition(p, len(ci) - m, axis=1)[:, len(ci) - m :] for p in parts], axis=1)
             at.sort(axis=1)
-            total = sum(np.take_along_axis(p, at, axis=1) for p in parts)
+            total = _long(sum(np.take_along_axis(p, at, axis=1) for p in parts))
             use = ci[at] != qi[:, None]
             use[:, 1:] &= at[:, 1:] != at[:, :-1]
             for i, t, u in zip(qi.tolist(), total, use):
                 ids.append(i)
-                best.append([int(x) for x in sorted(t[u].tolist(), reverse=True)[:k]])
+                best.append(sorted(t[u].tolist(), reverse=True)[:k])
         return pa.table({"query_id": pa.array(ids, pa.int64()), "best": pa.array(best, pa.list_(pa.int64()))})
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         """Phases 2 and 3: entries at the uniform threshold in some slice, of them those whose total reaches the cutoff."""
         rows = ([], [], [])
-        cutoff = left.column("cutoff").to_numpy(zero_copy_only=False).astype(float)
+        known = left.column("cutoff").is_valid().to_numpy()
+        cutoff = left.column("cutoff").fill_null(-(1 << 63)).to_numpy()  # integers: a float would round past the k-th score
         for part, qi, ci, parts in partial(left, right) if left.num_rows and right.num_rows else ():
-            cut = np.where(np.isnan(cutoff[part]), -np.inf, cutoff[part])[:, None]
+            cut = np.where(known[part], cutoff[part].astype(float), -np.inf)[:, None]
             # any offsets are safe: what is below offset + share in every slice is below the cutoff in total
             offsets = [p.mean(axis=1, keepdims=True).astype(float) for p in parts]
             share = (cut - sum(offsets)) / len(parts)
@@ -97,11 +104,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
             for p, o in zip(parts, offsets):
                 may |= p >= o + share - slack - 1e-6 * np.abs(o)
             a, b = np.nonzero(may & (ci[None, :] != qi[:, None]))
-            total = sum(p[a, b] for p in parts)
-            good = total >= cut[a, 0]
+            total = _long(sum(p[a, b] for p in parts))
+            good = total >= cutoff[part][a]
             rows[0].append(qi[a[good]])
             rows[1].append(ci[b[good]])
-            rows[2].append(total[good].astype(np.int64))
+            rows[2].append(total[good])
         return pa.table({n: pa.array(np.concatenate(x) if x else [], pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), rows)})
 
     by = ["qb", "cb"]

@@ -86,6 +86,19 @@ def test_top_k(spark, monkeypatch, n, k):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 23, 1 << 26, 1 << 40])
+def test_top_k_beyond_floating_point(spark, size):
+    """Scores over 2**53, which floats would round together, and over 2**63, which are cut off."""
+    rng = random.Random(size)
+    rows = [(i, [float(size + rng.randrange(-9, 10)) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 20 = 0"), df, k=5).collect())
+    if size < 1 << 30:
+        assert got == brute(rows, 5) and max(r[3] for r in got) > 1 << 53
+    else:
+        assert len(got) == 50 and {r[3] for r in got} == {(1 << 63) - 1}
+
+
 def test_large_components_stay_exact():
     a = np.array([[1 << 30, 3]], np.int64)
     assert int(sum(topk._products(a, a, 2))[0, 0]) == (1 << 60) + 9
