@@ -1,14 +1,16 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 DataFrame functions only.  The index holds a posting (term, document, position) for
-each occurrence of a test term in the training documents.  A window of a test item
-is looked up from its rarest terms: their lists, shifted by the terms' offsets in
-the item, are intersected; what remains names alignments of an item with a
-document, along which whole windows are compared word by word.
+each occurrence of a test term in the training documents.  Equal windows of the test
+items are one phrase.  A phrase is looked up from its two rarest terms: their lists,
+shifted by the terms' offsets in it, are intersected, and the starts that remain are
+compared word by word with the document.  What a document carries is a start for each
+phrase that may begin there, so a text of one repeated word costs no more than its
+length, and hits are counted by the lengths of merged intervals.
 
-Word frequencies come from all documents.  The terms and anchors of the benchmark
-are broadcast only when their size, which is measured, is at most
-``BROADCAST_BYTES``; otherwise the same joins shuffle.
+Word frequencies come from all documents.  Phrases, terms and candidate starts are
+broadcast only when their size, which is measured, is at most ``BROADCAST_BYTES``;
+otherwise the same joins shuffle.
 
 Defined cases: null or empty text has no words; an item of fewer words than a window
 is one window; an item without words or without item_id matches nothing; rows that
@@ -18,13 +20,13 @@ repeated items count once; empty tables give no matches; other columns are ignor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.session import cut, stored
 
-#: Most bytes of benchmark terms that are broadcast.
-BROADCAST_BYTES = 4 << 20
+#: Most bytes of terms, phrases or candidate starts that are broadcast.
+BROADCAST_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -35,65 +37,78 @@ def words(text) -> Column:
     return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _GAPS), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def quoted(name: str) -> Column:
+    """A column by its name, which may hold a dot."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
     """A broadcast hint if the measured size allows it."""
-    n = df.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    n = df.agg(F.sum((F.octet_length("term") if size is None else size) + 64)).first()[0] or 0
     return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
+def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(quoted(id_col).isNotNull()).select(quoted(id_col).cast("long").alias("doc_id"), F.posexplode(words(quoted(text_col).cast("string"))).alias("pos", "term"))
+
+
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional index of the given terms: (term, doc_id, pos)."""
-    tokens = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(words(text_col)).alias("pos", "term"))
-    return tokens.join(_small(terms), "term").select("term", "doc_id", "pos")
+    return _tokens(docs, id_col, text_col).join(_small(terms), "term").select("term", "doc_id", "pos")
 
 
-def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, item_id, item_words) of the items that have words; item: a number for each pair of the others."""
-    rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words(text_col).alias("item_words")).where(F.size("item_words") > 0)
-    return rows.distinct().select(F.xxhash64("item_id", "item_words").alias("item"), "item_id", "item_words")
+def phrases(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(phrase, words, items): the distinct windows, and the items that have each; an item of fewer words than a window is one."""
+    rows = benchmark.where(quoted(id_col).isNotNull()).select(quoted(id_col).alias("item_id"), words(quoted(text_col).cast("string")).alias("w")).where(F.size("w") > 0).distinct()
+    size = F.least(F.size("w"), F.lit(window))
+    each = rows.select("item_id", "w", size.alias("k"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("at")).select("item_id", F.expr("slice(w, at + 1, k)").alias("words")).distinct()
+    # words hold no space, so joined by one they stay apart
+    return each.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.md5(F.array_join("words", " ")).alias("phrase"), "words", "items")
 
 
-def _anchors(tests: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """Distinct (item, term, off, term2, off2): of each window its two rarest terms, by frequency.
+def _anchors(tests: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(phrase, term, off, term2, off2): of each phrase its two rarest terms, by frequency.
 
-    A window with a term that no document has can't occur and has no anchors.
+    A phrase with a term that no document has can't occur and has no anchors.
     """
-    n = F.size("item_words")
-    size = F.least(n, F.lit(window))
-    each = tests.select("item", "item_words", size.alias("size"), F.explode(F.sequence(F.lit(0), n - size)).alias("start"))
-    terms = each.select("item", "start", "size", F.posexplode(F.expr("slice(item_words, start + 1, size)")).alias("at", "term"))
-    known = terms.join(frequency, "term").withColumn("order", F.struct("n", F.col("start") + F.col("at"), "term"))
-    of = known.groupBy("item", "start", "size").agg(F.count("*").alias("have"), F.min("order").alias("a"), F.slice(F.sort_array(F.collect_list("order")), 1, 2).alias("two"))
-    of = of.where("have = size").withColumn("b", F.element_at("two", -1))
-    return of.select("item", F.col("a.term").alias("term"), F.col("a.col2").alias("off"), F.col("b.term").alias("term2"), F.col("b.col2").alias("off2")).distinct()
-
-
-def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, item_words, shift) once each: where the rarest terms of some window stand as in the item."""
-    tests = cut(items(benchmark))
-    vocabulary = tests.select(F.explode("item_words").alias("term")).distinct()
-    frequency = cut(postings(docs, vocabulary, id_col, text_col).groupBy("term").agg(F.count("*").alias("n")))
-    anchors = cut(_anchors(tests, frequency, window))
+    terms = tests.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
+    order = F.struct("n", "at", "term")
+    of = terms.join(frequency, "term").groupBy("phrase", "size").agg(F.count("*").alias("have"), F.slice(F.sort_array(F.collect_list(order)), 1, 2).alias("two")).where("have = size")
+    a, b = F.element_at("two", 1), F.element_at("two", -1)
+    return of.select("phrase", a["term"].alias("term"), a["at"].alias("off"), b["term"].alias("term2"), b["at"].alias("off2"))
+
+
+def candidates(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, phrase, starts): where a phrase's two rarest terms stand as in the phrase."""
+    vocabulary = tests.select(F.explode("words").alias("term")).distinct()
+    if (vocabulary.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        frequency = postings(docs, vocabulary, id_col, text_col).groupBy("term").agg(F.count("*").alias("n"))
+    else:  # counted in the map tasks, so that words are shuffled once for a task rather than for each occurrence
+        frequency = _tokens(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("n")).join(vocabulary, "term", "left_semi")
+    anchors = cut(_anchors(tests, cut(frequency)))
     keys = anchors.select("term").union(anchors.select(F.col("term2").alias("term"))).distinct()
     index = stored(postings(docs, keys, id_col, text_col))
-    first = index.join(_small(anchors), "term").select("doc_id", "item", "term2", (F.col("pos") - F.col("off") + F.col("off2")).alias("pos2"), (F.col("pos") - F.col("off")).alias("shift"))
+    start = F.col("pos") - F.col("off")
+    first = index.join(_small(anchors), "term").select("doc_id", "phrase", "term2", start.alias("start"), (start + F.col("off2")).alias("pos2")).where("start >= 0")
     second = index.select(F.col("doc_id").alias("d"), F.col("term").alias("t"), F.col("pos").alias("p"))
     both = first.join(second, (F.col("doc_id") == F.col("d")) & (F.col("term2") == F.col("t")) & (F.col("pos2") == F.col("p")), "left_semi")
-    return both.select("doc_id", "item", "shift").distinct().join(tests, "item").select("doc_id", "item_id", "item_words", "shift")
+    return both.groupBy("doc_id", "phrase").agg(F.collect_set("start").alias("starts"))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Every row of docs (doc_id, words, the columns to keep) with ``matches``: array of (item_id, start, size), exact windows in word positions."""
-    found = alignments(docs, benchmark, window, id_col, text_col).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("aligned"))
-    # the text meets its alignments and is cut into words afterwards: an exchange of word arrays would be larger
-    plain = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.struct(*(keep or [F.lit(None)])).alias("kept"))
-    both = plain.join(found, F.col("__id") == F.col("of"), "left").select(F.col("__id").alias("doc_id"), "kept", "aligned", words("__text").alias("words"))
-    starts = f"""
-        filter(sequence(0, size(a.item_words) - least(size(a.item_words), {window})), i ->
-            a.shift + i >= 0 and a.shift + i + least(size(a.item_words), {window}) <= size(words) and
-            slice(words, greatest(a.shift + i, 0) + 1, least(size(a.item_words), {window})) = slice(a.item_words, i + 1, least(size(a.item_words), {window})))"""
-    matches = f"flatten(transform(aligned, a -> transform({starts}, i -> struct(a.item_id as item_id, a.shift + i as start, least(size(a.item_words), {window}) as size))))"
-    return both.select("doc_id", "kept", "words", F.expr(f"if(aligned is null, null, {matches})").alias("matches"))
+    """Every row of docs: doc_id, n_words, the columns to keep, and ``matches``: array of (items, size, starts) of the phrases found, in word positions."""
+    tests = cut(phrases(benchmark, window))
+    found = candidates(docs, tests, id_col, text_col).join(_small(tests, F.octet_length(F.array_join("words", " ")) + 16 * F.size("items")), "phrase")
+    found = stored(found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("words", "items", "starts")).alias("maybe")))
+    size = F.expr("aggregate(maybe, 0, (n, c) -> n + 24 * size(c.words) + 24 * size(c.items) + 4 * size(c.starts))")
+    plain = docs.select(quoted(id_col).cast("long").alias("__id"), quoted(text_col).cast("string").alias("__text"), F.struct(*[quoted(c) for c in keep or []] or [F.lit(None)]).alias("kept"))
+    both = plain.join(_small(found, size), F.col("__id") == F.col("of"), "left").withColumn("__words", F.array(words("__text")))
+    # the text is cut once: its words are bound to a variable, not written out in each comparison
+    matches = """
+        filter(transform(maybe, c -> struct(c.items as items, size(c.words) as size, array_sort(filter(c.starts, s -> slice(ws, s + 1, size(c.words)) = c.words)) as starts)),
+            m -> size(m.starts) > 0)"""
+    both = both.select(F.col("__id").alias("doc_id"), "kept", F.expr(f"transform(__words, ws -> struct(size(ws) as n_words, if(maybe is null, null, {matches}) as matches))[0]").alias("x"))
+    return both.select("doc_id", "kept", F.col("x.n_words").cast("long").alias("n_words"), F.col("x.matches").alias("matches"))
 
 
 def proximity_matches(docs: DataFrame, first: str, others: list[str], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,19 +122,21 @@ def proximity_matches(docs: DataFrame, first: str, others: list[str], within: in
     return found
 
 
-_HIT = "coalesce(size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.size - 1))))), 0)"
+#: Words inside any match: the lengths of its intervals, in order, less what an earlier one covers.
+_HIT = """
+    coalesce(aggregate(array_sort(flatten(transform(matches, m -> transform(m.starts, s -> struct(cast(s as long) as a, cast(s + m.size as long) as b))))), struct(0L as n, 0L as e),
+        (x, y) -> struct(x.n + greatest(0L, y.b - greatest(x.e, y.a)) as n, greatest(x.e, y.b) as e), x -> x.n), 0L)"""
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which fewer than one word in ``one_in`` is hit, with their columns."""
     m = phrase_matches(docs, benchmark, window, id_col, text_col, docs.columns).withColumn("n_hit", F.expr(_HIT))
-    return m.where((F.col("n_hit") == 0) | (one_in * F.col("n_hit") < F.size("words"))).select("kept.*")
+    return m.where((F.col("n_hit") == 0) | (one_in * F.col("n_hit") < F.col("n_words"))).select("kept.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (one word in ``one_in`` or more is hit)."""
     m = phrase_matches(docs, benchmark, window, id_col, text_col)
-    hit = F.expr(_HIT)
-    names = F.expr("coalesce(array_sort(array_distinct(transform(matches, m -> cast(m.item_id as string)))), array())")
-    out = m.select("doc_id", F.size("words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), names.alias("names"))
+    names = F.expr("coalesce(array_sort(array_distinct(transform(flatten(transform(matches, m -> m.items)), i -> cast(i as string)))), array())")
+    out = m.select("doc_id", "n_words", F.expr(_HIT).alias("n_hit"), names.alias("names"))
     return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

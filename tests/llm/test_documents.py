@@ -324,6 +324,23 @@ def test_decontamination(spark, odd, odd_rows, empty, listed):
     assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == odd.count()
 
 
+def test_decontamination_of_one_repeated_word(spark):
+    """A long text and an item of one word over and over; the shuffled joins give the same as the broadcast ones."""
+    docs = spark.createDataFrame([(1, "word " * 60_000), (2, "word " * 12), (3, "other " + "word " * 13), (4, "word")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "word " * 600), (2, "Word " * 700), (3, "word other")], "item_id long, text string")
+    for limit in (decontamination.BROADCAST_BYTES, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontamination, "BROADCAST_BYTES", limit)
+            got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.report(docs, bench).collect()}
+        assert got == {1: (60_000, 60_000, 2), 2: (12, 0, 0), 3: (14, 13, 2), 4: (1, 0, 0)}
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "d e f", 6, None)], "doc_id long, text string, `a.b` int, `__text` string")
+    bench = spark.createDataFrame([(1, "A, b")], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.clean(docs, bench).collect()] == [(2, "d e f", 6, None)]
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x x x beta"), (3, "alpha"), (4, None)], "doc_id long, text string")
     assert [(r.doc_id, r.pos) for r in decontamination.proximity_matches(df, "alpha", ["beta"], 2).collect()] == [(1, 0)]
