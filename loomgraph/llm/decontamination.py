@@ -8,9 +8,11 @@ compared word by word with the document.  What a document carries is a start for
 phrase that may begin there, so a text of one repeated word costs no more than its
 length, and hits are counted by the lengths of merged intervals.
 
-Word frequencies come from all documents.  Phrases, terms and candidate starts are
-broadcast only when their size, which is measured, is at most ``BROADCAST_BYTES``;
-otherwise the same joins shuffle.
+Word frequencies come from all documents.  What comes from the benchmark, its terms
+and phrases, is broadcast only when its size, which is measured, is at most
+``BROADCAST_BYTES``; otherwise the same joins shuffle.  Candidate starts, which grow
+with the corpus, always shuffle; the texts they meet are those that a bitmap of fixed
+size lets through.
 
 Defined cases: null or empty text has no words; an item of fewer words than a window
 is one window; an item without words or without item_id matches nothing; rows that
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut, stored
 
-#: Most bytes of terms, phrases or candidate starts that are broadcast.
+#: Most bytes of benchmark terms or phrases that are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bits that tell documents without a candidate; their broadcast has a 64th as many rows at most.
+FILTER_BITS = 1 << 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -95,14 +99,24 @@ def candidates(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
     return both.groupBy("doc_id", "phrase").agg(F.collect_set("start").alias("starts"))
 
 
+def _marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``__may``: whether a row's ``__id`` may be one of ``of``, by a bitmap of hashes of fixed size, FILTER_BITS."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words_of = found.select(place("of").alias("h")).groupBy(F.expr("h div 64").alias("__at")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("__bits"))
+    rows = rows.withColumn("__h", place("__id")).withColumn("__at", F.expr("__h div 64")).join(F.broadcast(words_of), "__at", "left")
+    return rows.withColumn("__may", F.expr("coalesce((shiftright(__bits, cast(__h % 64 as int)) & 1L) = 1, false)")).drop("__h", "__at", "__bits")
+
+
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of docs: doc_id, n_words, the columns to keep, and ``matches``: array of (items, size, starts) of the phrases found, in word positions."""
     tests = cut(phrases(benchmark, window))
     found = candidates(docs, tests, id_col, text_col).join(_small(tests, F.octet_length(F.array_join("words", " ")) + 16 * F.size("items")), "phrase")
     found = stored(found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("words", "items", "starts")).alias("maybe")))
-    size = F.expr("aggregate(maybe, 0, (n, c) -> n + 24 * size(c.words) + 24 * size(c.items) + 4 * size(c.starts))")
     plain = docs.select(quoted(id_col).cast("long").alias("__id"), quoted(text_col).cast("string").alias("__text"), F.struct(*[quoted(c) for c in keep or []] or [F.lit(None)]).alias("kept"))
-    both = plain.join(_small(found, size), F.col("__id") == F.col("of"), "left").withColumn("__words", F.array(words("__text")))
+    # texts without a candidate needn't travel; the others meet their starts
+    plain = _marked(plain, found)
+    there = plain.where("__may").join(found, F.col("__id") == F.col("of"), "left")
+    both = there.unionByName(plain.where("not __may"), True).withColumn("__words", F.array(words("__text")))
     # the text is cut once: its words are bound to a variable, not written out in each comparison
     matches = """
         filter(transform(maybe, c -> struct(c.items as items, size(c.words) as size, array_sort(filter(c.starts, s -> slice(ws, s + 1, size(c.words)) = c.words)) as starts)),
