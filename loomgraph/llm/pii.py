@@ -11,7 +11,7 @@ confidence bound of the term's rate in place of the rate, so that chance meeting
 of rare terms and rare entities weigh less.
 
 Defined cases: null or empty text has no spans; counts are over rows; rows that
-share a doc_id share their disclosing terms; a row without doc_id has base spans
+share a doc_id share their disclosing terms, but one without a base span loses nothing; a row without doc_id has base spans
 only; an empty table gives an empty table.
 """
 
@@ -42,6 +42,8 @@ _GAPS = ~V.byte_class([*range(65, 91), *range(97, 123), *range(128, 256)])
 _VALUES = V.byte_values(4, fold_case=True)
 #: Shortest term, in bytes.
 TERM_BYTES = 3
+#: Most terms, and most entities, whose counts go to all tasks.
+FREQUENT = 100_000
 #: Standard deviations either side of a rate in its 95 % interval.
 Z = 1.96
 
@@ -110,27 +112,71 @@ def _distinct_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, entity, term) of every distinct term of a row with every entity of it, wherever they stand; term 0 stands for the entity alone."""
+def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, the text if it has a base span, its base spans (flat kind, start, end) and its distinct entities."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = [base_spans(t) for t in texts]
+            entities = [sorted({entity_id(kind, t[a:b]) for kind, a, b in f}) for t, f in zip(texts, found)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([t if f else None for t, f in zip(texts, found)], pa.string()), pa.array([[x for s in f for x in s] for f in found], pa.list_(pa.int32())), pa.array(entities, pa.list_(pa.int64()))],
+                names=["doc_id", "text", "base", "entities"],
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, base array<int>, entities array<long>")
+
+
+def _frequent(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The keys, sorted, whose count is above a threshold that leaves fewer than ``most`` of them, with the counts; and the threshold."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    least = max(1, total // most)
+    top = counts.where(F.col(n) > least).select(F.col(key).alias("k"), F.col(n).alias("n")).toArrow()
+    k, c = top.column("k").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(k)
+    return k[order], c[order], least
+
+
+def _known(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, other: int) -> np.ndarray:
+    """The counts of keys; ``other`` for those that aren't there."""
+    if not len(keys):
+        return np.full(len(of), other, np.int64)
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    return np.where(keys[at] == of, counts[at], other)
+
+
+def _pairs(found: DataFrame, total: int, terms: DataFrame, entities: DataFrame, generalise: float) -> DataFrame:
+    """(doc_id, entity, term) of every distinct term of a row with every entity of it, wherever they stand, unless it can't disclose so much.
+
+    A term of t rows is the entity's, of e rows, in e of them at most, so its disclosure
+    reaches g only if t <= N * (e / N) ** g.  The counts of frequent terms and entities,
+    fewer than FREQUENT, go to all tasks; a term that isn't there is never left out.
+    """
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "entity", "term")])
+    tk, tn, _ = _frequent(terms, "term", "n_term", FREQUENT)
+    ek, en, rest = _frequent(entities, "entity", "n_entity", FREQUENT)
+    shared = found.sparkSession.sparkContext.broadcast((tk, tn, ek, en))
 
-    def rows(ids: list, texts: list[bytes], entities: list[list[int]]):
+    def rows(ids: list, texts: list[bytes], held: list[list[int]]):
+        tk, tn, ek, en = shared.value
         row, h = _distinct_terms(texts)
+        h = h.astype(np.int64)
+        often = _known(tk, tn, h, 0)
         at = V.slices(row, len(texts))
-        for i, found in enumerate(entities):
-            terms = np.concatenate((np.zeros(1, np.int64), h[at[i] : at[i + 1]].astype(np.int64)))
-            n = len(terms) * len(found)
-            doc = pa.nulls(n, pa.int64()) if ids[i] is None else pa.array(np.full(n, ids[i], np.int64))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(np.repeat(np.array(found, np.int64), len(terms))), pa.array(np.tile(terms, len(found)))], schema=schema)
+        for i, mine in enumerate(held):
+            h_i, often_i = h[at[i] : at[i + 1]], often[at[i] : at[i + 1]]
+            limits = total * (_known(ek, en, np.array(mine, np.int64), rest) / max(1, total)) ** generalise * (1 + 1e-9)
+            for entity, limit in zip(mine, limits.tolist()):
+                keep = h_i[often_i <= limit]
+                doc = pa.nulls(len(keep), pa.int64()) if ids[i] is None else pa.array(np.full(len(keep), ids[i], np.int64))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(np.full(len(keep), entity, np.int64)), pa.array(keep)], schema=schema)
 
     def run(batches):
         for batch in batches:
             held, size = ([], [], []), 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted({entity_id(kind, text[a:b]) for kind, a, b in base_spans(text)}) if text else []
-                if not found:
-                    continue
-                for x, y in zip(held, (doc, text.encode(), found)):
+            for doc, text, mine in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities"))):
+                for x, y in zip(held, (doc, text.encode(), mine)):
                     x.append(y)
                 size += len(held[1][-1])
                 if size >= 1 << 20:
@@ -139,7 +185,7 @@ def _pairs(docs: DataFrame) -> DataFrame:
             if held[0]:
                 yield from pa.Table.from_batches(rows(*held), schema).combine_chunks().to_batches(1 << 16)
 
-    return docs.mapInArrow(run, "doc_id long, entity long, term long")
+    return found.where("size(entities) > 0").select("doc_id", "text", "entities").mapInArrow(run, "doc_id long, entity long, term long")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -170,22 +216,22 @@ def _rate(both: Column, of: Column, support: int) -> Column:
     return F.when(both >= support, both / of).otherwise(low)
 
 
-def disclosing(docs: DataFrame, pairs: DataFrame, support: int, generalise: float) -> DataFrame:
-    """(entity, term, share) of the pairs whose disclosure reaches the threshold."""
-    total = F.lit(docs.count())
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    alone = joint.where("term = 0").select("entity", F.col("n_both").alias("n_entity"))
-    known = joint.where("term <> 0").join(alone, "entity").join(term_frequencies(docs), "term")
-    ic = F.log2(total / F.col("n_entity"))
-    share = F.when(ic > 0, F.log2(total * _rate(F.col("n_both"), F.col("n_term"), support) / F.col("n_entity")) / ic)
+def disclosing(pairs: DataFrame, total: int, terms: DataFrame, entities: DataFrame, support: int, generalise: float) -> DataFrame:
+    """(entity, term, share) of the pairs whose disclosure reaches the threshold; total: rows of the corpus."""
+    known = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(entities, "entity").join(terms, "term")
+    n = F.lit(total)
+    ic = F.log2(n / F.col("n_entity"))
+    share = F.when(ic > 0, F.log2(n * _rate(F.col("n_both"), F.col("n_term"), support) / F.col("n_entity")) / ic)
     return known.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
 
 
-def disclosing_terms(docs: DataFrame, *, support: int = 3, generalise: float = 0.5, remove: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, generalised, removed): hashes of the terms that disclose an entity of the document."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pairs = stored(_pairs(plain))
-    flagged = disclosing(plain, pairs, support, generalise)
+def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int = 3, generalise: float = 0.5, remove: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, generalised, removed): hashes of the terms that disclose an entity of the document; found: ``detected`` of docs."""
+    total = found.count()
+    terms = stored(term_frequencies(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))))
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = stored(_pairs(found, total, terms, entities, generalise))
+    flagged = disclosing(pairs, total, terms, entities, support, generalise)
     level = lambda c: F.collect_set(F.when(c, F.col("term")))
     return pairs.join(flagged, ["entity", "term"]).groupBy("doc_id").agg(level(F.col("share") < remove).alias("generalised"), level(F.col("share") >= remove).alias("removed"))
 
@@ -211,16 +257,8 @@ def _terms_in(text: str, base: list, generalised: list, removed: list) -> tuple[
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined)."""
-    terms = disclosing_terms(docs, id_col=id_col, text_col=text_col, **thresholds)
-
-    def detect(batches):
-        """Texts without a base span travel no further."""
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [base_spans(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([t if f else None for t, f in zip(texts, found)], pa.string()), pa.array([[x for s in f for x in s] for f in found], pa.list_(pa.int32()))], names=["doc_id", "text", "base"]
-            )
+    found = stored(detected(docs, id_col, text_col))
+    terms = disclosing_terms(docs, found, id_col=id_col, text_col=text_col, **thresholds)
 
     def finish(batches):
         names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans"]
@@ -228,14 +266,13 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
             cols = [[] for _ in names]
             for doc, text, flat, low, high in zip(*(c.to_pylist() for c in batch.columns)):
                 base = [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
-                more = sorted(sum(_terms_in(text, base, low, high), [])) if low or high else []
+                more = sorted(sum(_terms_in(text, base, low, high), [])) if base and (low or high) else []
                 counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]
                 for c, x in zip(cols, [doc, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)]):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i > 4 else pa.int64()) for i, c in enumerate(cols)], names=names)
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(detect, "doc_id long, text string, base array<int>")
-    both = base.join(terms.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "base", "generalised", "removed")
+    both = found.join(terms.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "base", "generalised", "removed")
     return both.mapInArrow(finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -259,7 +296,7 @@ def redact(text: str, low: list | None, high: list | None) -> str:
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """The table with its texts redacted; every row and every other column stays (null texts too)."""
-    terms = disclosing_terms(docs, id_col=id_col, text_col=text_col, **thresholds)
+    terms = disclosing_terms(docs, stored(detected(docs, id_col, text_col)), id_col=id_col, text_col=text_col, **thresholds)
     schema = docs.schema
     at = schema.names.index(text_col)
 

@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -278,13 +280,59 @@ def test_pii_rare_entities_disclose(spark):
     assert "term:0:6" in got[3][0] and "term:7:12" not in got[3][0]
 
 
-def test_pii_counts_rows(spark):
-    """Rows that share a doc_id, or have none, count each."""
-    for key in (1, None):
-        rows = [*((key, f"quennel zed@x.org {i}") for i in range(3))]
-        pairs = pii._pairs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
-        n = {r["count"] for r in pairs.groupBy("entity", "term").count().collect()}
-        assert n == {3}
+def disclosed(rows, support=3, generalise=0.5, remove=0.9):
+    """Per row the spans of ``pii.spans`` and the terms that go, by plain loops."""
+    term = re.compile("[A-Za-z\x80-\U0010ffff]+")
+    words = lambda t: {m[0].translate(LOWER) for m in term.finditer(t or "") if len(m[0].encode()) >= 3}
+    ents = lambda t: {pii.entity_id(k, t[a:b]) for k, a, b in pii.base_spans(t or "")}
+    n_term, n_ent, both = Counter(), Counter(), Counter()
+    for _, t in rows:
+        n_term.update(words(t))
+        n_ent.update(ents(t))
+        both.update((e, w) for e in ents(t) for w in words(t))
+    total, share = len(rows), {}
+    for (e, w), n in both.items():
+        if (ic := math.log2(total / n_ent[e])) > 0:
+            m = n_term[w]
+            rate = n / m if n >= support else (n + 1.96**2 / 2 - 1.96 * math.sqrt(n * (m - n) / m + 1.96**2 / 4)) / (m + 1.96**2)
+            share[e, w] = math.log2(total * rate / n_ent[e]) / ic
+    flagged = {}
+    for i, t in rows:
+        for e in ents(t) if i is not None else ():
+            flagged.setdefault(i, set()).update(w for w in words(t) if share.get((e, w), 0) >= generalise)
+    out = []
+    for i, t in rows:
+        base = pii.base_spans(t or "")
+        more = [(4, m.start(), m.end()) for m in term.finditer(t or "") if base and m[0].translate(LOWER) in flagged.get(i, ()) and len(m[0].encode()) >= 3 and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        out.append((i, pii.joined(base + more)))
+    return ordered(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_terms_against_loops(spark, listed, monkeypatch, seed):
+    """Shares of a random corpus with shared and missing ids, whatever the partitions, the batches and the number of counts sent to all tasks."""
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}{c}" for a in "bdkt" for b in "aeiou" for c in ("rn", "lx", "st")]
+    people = ["zed@x.org", "ann@y.net", "+1 555 010 9999", "10.0.0.7"]
+    rows = []
+    for i in range(120):
+        t = [rng.choice(vocabulary[: 1 + rng.randrange(len(vocabulary))]) for _ in range(rng.randint(1, 12))]
+        if rng.random() < 0.4:
+            k = min(rng.randrange(8), 3)
+            t += [people[k], *(["quennel"] if k == 1 else ["vorbin"] if k == 0 and rng.random() < 0.8 else [])]
+        rng.shuffle(t)
+        rows.append((rng.choice([i, i, i, 5, None]), " ".join(t)))
+    rows += [(1000, None), (1001, "")]
+    want = disclosed(rows)
+    assert any("term" in x for _, x in want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts, batch, frequent in ((1, 10_000, 100_000), (3, 1, 100_000), (4, 7, 2), (2, 50, 1)):
+        monkeypatch.setattr(pii, "FREQUENT", frequent)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert listed(pii.spans(df.repartition(parts)), "doc_id", "spans") == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_redaction_leaves_nothing():
