@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._columns import free, map_rows, quoted
+
 #: White space by Unicode's property, as the pattern's \s has it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words with the space before them, and runs of white space: the pattern never joins what this parts.
@@ -169,7 +171,8 @@ def groups(texts: list[str | None], most: int = 8 << 20) -> Iterator[tuple[int,
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all by default) with ``ids`` (array of int) and ``decoded`` (string of the decoded bytes), in place of columns of these names."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
-    out = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    given = docs.select(*map(quoted, keep), quoted(text_col).cast("string").alias(free(docs.columns, "given")))
+    out = T.StructType(given.schema.fields[:-1]).add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches):
         tok = bpe(path, pattern)
@@ -182,7 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns[:-1], ids, back], names=out.names)
         tok.forget()
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("__given_text")).mapInArrow(run, out)
+    return map_rows(given, run, out)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut, stored
 
+from ._columns import quoted
+
 #: Most bytes of benchmark terms or phrases that are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Bits that tell documents without a candidate; their broadcast has a 64th as many rows at most.
@@ -41,11 +43,6 @@ def words(text) -> Column:
     return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _GAPS), "")
 
 
-def quoted(name: str) -> Column:
-    """A column by its name, which may hold a dot."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
     """A broadcast hint if the measured size allows it."""
     n = df.agg(F.sum((F.octet_length("term") if size is None else size) + 64)).first()[0] or 0

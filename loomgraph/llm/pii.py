@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from loomgraph.session import stored
 
 from . import _vec as V
+from ._columns import free, map_rows, quoted
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -125,7 +126,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["doc_id", "text", "base", "entities"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, base array<int>, entities array<long>")
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, base array<int>, entities array<long>")
 
 
 def _frequent(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -307,5 +308,6 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             cols[at] = pa.array([t and redact(t, a, b) for t, a, b in zip(texts, low, high)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    keyed = terms.select(F.col("doc_id").alias("__of"), F.col("generalised").alias("__low"), F.col("removed").alias("__high"))
-    return docs.join(keyed, docs[id_col].cast("long") == keyed["__of"], "left").drop("__of").mapInArrow(run, schema)
+    of, low, high = (free(docs.columns, c) for c in ("of", "low", "high"))
+    keyed = terms.select(F.col("doc_id").alias(of), F.col("generalised").alias(low), F.col("removed").alias(high))
+    return map_rows(docs.join(keyed, quoted(id_col).cast("long") == F.col(of), "left").drop(of), run, schema)

@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _labels
 from . import _vec as V
+from ._columns import free, map_rows, quoted
 
 BITS = 19
 _VALUES = V.byte_values(8)
@@ -92,22 +94,22 @@ def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The table with a score column (0 to 1), in place of one of that name."""
-    docs = docs.select(docs[text_col].cast("string").alias("__given_text"), *[c for c in docs.columns if c != score_col])
-    names = [*docs.columns[1:], score_col]
+    docs = docs.select(quoted(text_col).cast("string").alias(free(docs.columns, "given")), *[quoted(c) for c in docs.columns if c != score_col])
+    out = T.StructType([*docs.schema.fields[1:], T.StructField(score_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
-            out, at, size = [np.zeros(0)], 0, 0
+            total, at, size = [np.zeros(0)], 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= 2 << 20 or i == len(texts) - 1:
-                    out.append(scores(texts[at : i + 1], shared.value))
+                    total.append(scores(texts[at : i + 1], shared.value))
                     at, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(out))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(total))], names=out.names)
 
-    return docs.mapInArrow(run, docs.drop("__given_text").schema.add(score_col, "double"))
+    return map_rows(docs, run, out)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, most: int = 6000, most_bytes: int = 65536) -> np.ndarray:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from . import _labels
 from . import _vec as V
+from ._columns import free, map_rows, quoted
 
 BITS = 20
 #: Beginnings of words, in bytes, that are features besides the words.
@@ -58,6 +59,18 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
+def gradient(place: np.ndarray, where: np.ndarray, doc: np.ndarray, y: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """Of the mean negative log likelihood of the documents' labels, by weight and by bias.
+
+    A clean document's loss is the sum of its sentences' softplus; a toxic one's share
+    of that is weighted by the odds that all its sentences are clean.
+    """
+    s = bias + np.bincount(where, weights=w[place], minlength=len(doc))
+    mass = np.bincount(doc, weights=_softplus(s), minlength=len(y))
+    g = np.where(y > 0, -1 / np.expm1(np.clip(mass, 1e-12, 500)), 1.0)[doc] * _logistic(s) / len(y)
+    return np.bincount(place, weights=g[where], minlength=len(w)), float(g.sum())
+
+
 def fit(texts: list[str], labels: list[int], updates: int = 450, rate: float = 0.4, least: int = 3, l1: float = 2e-4) -> np.ndarray:
     """Weights by place, the last the bias; features of fewer than ``least`` documents of the sample stay at 0.
 
@@ -88,16 +101,13 @@ def fit(texts: list[str], labels: list[int], updates: int = 450, rate: float = 0
             parts = [(place[chosen[place]], where[chosen[place]], doc, y) for place, where, doc, y in parts]
             square, bias_square, l1 = np.full(len(known), 1e-6), 1e-6, l1 / 4
         for place, where, doc, y in parts:
-            s = bias + np.bincount(where, weights=w[place], minlength=len(doc))
-            mass = np.bincount(doc, weights=_softplus(s), minlength=len(y))
-            g = np.where(y > 0, -1 / np.expm1(np.clip(mass, 1e-12, 500)), 1.0)[doc] * _logistic(s) / len(y)
-            grad = np.bincount(place, weights=g[where], minlength=len(w))
+            grad, at_bias = gradient(place, where, doc, y, w, bias)
             square += grad * grad
             step = rate / np.sqrt(square)
             w -= step * grad
             w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * (grad != 0), 0)
-            bias_square += g.sum() ** 2
-            bias -= rate / np.sqrt(bias_square) * g.sum()
+            bias_square += at_bias**2
+            bias -= rate / np.sqrt(bias_square) * at_bias
     out[known], out[-1] = w, bias
     return out
 
@@ -116,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
 def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", offending: float = 0.5) -> DataFrame:
     """The table with toxic_score and toxic_sentences (start, end in bytes, score of each offending sentence), in place of columns of these names."""
-    docs = docs.select(docs[text_col].cast("string").alias("__given_text"), *[c for c in docs.columns if c not in ("toxic_score", "toxic_sentences")])
-    schema = docs.drop("__given_text").schema.add("toxic_score", "double").add("toxic_sentences", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))
+    docs = docs.select(quoted(text_col).cast("string").alias(free(docs.columns, "given")), *[quoted(c) for c in docs.columns if c not in ("toxic_score", "toxic_sentences")])
+    schema = T.StructType(docs.schema.fields[1:]).add("toxic_score", "double").add("toxic_sentences", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -138,7 +148,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", offendi
                 at, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(total, pa.float64()), pa.array(bad, kind)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 5, held: int = 0, most: int = 6000) -> DataFrame:

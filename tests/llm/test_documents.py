@@ -227,6 +227,21 @@ EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def test_token_counts_of_long_runs(monkeypatch):
+    """Runs without white space, and a cache that overflows within a text."""
+    import tokenizers
+
+    path = P.path("word_bpe_49k.json")
+    want = tokenizers.Tokenizer.from_file(path)
+    want.no_truncation()
+    monkeypatch.setattr(token_counts, "CACHE", 3)
+    rng = random.Random(2)
+    count = token_counts.Counter(path)
+    for t in ("a" * 30_000, "".join(rng.choice("abcdeé中") for _ in range(20_000)), "ab" * 9_999 + "!" * 5_000, " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(300))):
+        assert count.count(t) == len(want.encode(t, add_special_tokens=False).ids)
+        assert len(count) <= 3
+
+
 def base(t):
     out = [(0, m.start(), m.end()) for m in EMAIL.finditer(t)]
     out += [(1, m.start(), m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]

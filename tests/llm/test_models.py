@@ -1,7 +1,9 @@
 """Classifiers by held-out accuracy, top-k against brute force, the pipeline stage by stage."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,6 +44,73 @@ def test_classifiers_take_odd_rows(odd, empty, tables):
         assert module.classify(empty, labels).count() == 0
 
 
+def test_columns_of_any_name_stay(spark, tables):
+    """Columns whose names hold dots, or are those that the operators use while they work."""
+    import public_tokenizers as P
+
+    from loomgraph.llm import byte_bpe
+
+    df = spark.createDataFrame([(1, "some text", 1, "x", 2)], "doc_id long, text string, `a.b` int, given string, `__given_text` int")
+    w = quality.fit(["good", "bad"], [1, 0])
+    assert quality.scored(df, w).drop("score").collect() == df.collect()
+    assert toxicity.scored(df, np.zeros((1 << toxicity.BITS) + 1, np.float32)).drop("toxic_score", "toxic_sentences").collect() == df.collect()
+    assert pii.sanitise(df).collect() == df.collect()
+    assert byte_bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).drop("ids", "decoded").collect() == df.collect()
+
+
+def test_ftrl_is_the_plain_loop():
+    """Fitting, against follow-the-regularised-leader written out by coordinate in plain numbers."""
+    rng = np.random.default_rng(3)
+    words = ["good", "fine", "bad", "junk", "!!", "text", "more"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(40)]
+    labels = [int("good" in t or "fine" in t) for t in texts]
+    got = quality.fit(texts, labels, updates=120)
+    row, place, value = quality.features([t.encode() for t in texts])
+    bias = math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5))
+    z, n = Counter(), Counter()
+
+    def weight(i, alpha=0.5, beta=1.0, l1=0.02, l2=0.1):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for t, y in enumerate(labels):
+            x = [(int(i), float(np.float32(v))) for i, v in zip(place[row == t], value[row == t])]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-(sum(w[i] * v for i, v in x) + bias)))
+            for i, v in x:
+                g = (p - y) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    assert {i: pytest.approx(weight(i), abs=1e-4) for i in z} == {i: float(got[i]) for i in z}
+    assert got[-1] == pytest.approx(bias, abs=1e-6) and np.count_nonzero(got) <= len(z) + 1
+
+
+def test_noisy_or_and_its_gradient():
+    """Document scores by the product formula; the gradient that fitting follows, by finite differences of the log likelihood."""
+    texts = [b"calm words here. vile insult now! more calm", b"calm words", b"", b"vile vile. insult"]
+    rng = np.random.default_rng(5)
+    w = rng.normal(0, 0.5, (1 << toxicity.BITS) + 1)
+    w[-1] = -1.0
+    place, where, doc, *_ = toxicity.instances(texts)
+
+    def scores(w):
+        s = [w[-1] + sum(w[p] for p, k in zip(place, where) if k == i) for i in range(len(doc))]
+        clean = np.ones(len(texts))
+        for i, d in enumerate(doc):
+            clean[d] *= 1 - 1 / (1 + math.exp(-s[i]))
+        return 1 - clean
+
+    assert toxicity.sentence_scores(texts, w)[0] == pytest.approx(scores(w), abs=1e-9)
+    y = np.array([1.0, 0.0, 0.0, 1.0])
+    loss = lambda w: -sum(math.log(p) if t else math.log(1 - p) for p, t in zip(scores(w), y) if not (t and p == 0)) / len(y)
+    g, bias = toxicity.gradient(place, where, doc, y, w[:-1], w[-1])
+    for p in [*sorted(set(place.tolist()))[::7], -1]:
+        step = np.zeros(len(w))
+        step[p] = 1e-5
+        assert (bias if p == -1 else g[p]) == pytest.approx((loss(w + step) - loss(w - step)) / 2e-5, abs=1e-6)
+
+
 def test_offending_sentences_are_located():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
