@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import byte_bpe, decontamination, ngram_join, pii, quality
+from loomgraph.llm._columns import free
 from loomgraph.session import stored
 
 #: Documents score at least so much to stay.
@@ -20,7 +21,8 @@ QUALITY = 0.7
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: rejected documents go."""
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", modulus=4, held=2)
-    return quality.scored(docs, weights, score_col="__score").where(F.col("__score") >= QUALITY).drop("__score")
+    score = free(docs.columns, "score")
+    return quality.scored(docs, weights, score_col=score).where(F.col(score) >= QUALITY).drop(score)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +30,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share a doc_id are told apart by their text; of rows alike in both, one stays.
     """
-    named = docs.where("doc_id is not null").withColumn("__node", F.xxhash64("doc_id", "text"))
-    found = ngram_join.near_duplicates(named, n=5, percent=80, id_col="__node").select(F.col("doc_id").alias("__node"), "component_id").distinct()
-    best = found.join(named.select("__node", "doc_id"), "__node").groupBy("component_id").agg(F.min(F.struct("doc_id", "__node")).getField("__node").alias("__node"))
-    kept = named.join(best, "__node", "left_semi")
-    one = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("__node"))).where("__n = 1").drop("__n", "__node")
-    return one.unionByName(docs.where("doc_id is null"))
+    node = free(docs.columns, "node")
+    named = docs.where("doc_id is not null").withColumn(node, F.xxhash64("doc_id", "text"))
+    found = ngram_join.near_duplicates(named, n=5, percent=80, id_col=node).select(F.col("doc_id").alias(node), "component_id").distinct()
+    best = found.join(named.select(node, "doc_id"), node).groupBy("component_id").agg(F.min(F.struct("doc_id", node)).getField(node).alias(node))
+    n = free([*docs.columns, node], "n")
+    one = named.join(best.select(node), node, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(node))).where(F.col(n) == 1)
+    return one.drop(n, node).unionByName(docs.where("doc_id is null"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
