@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import tidy
+
 
 #: Bytes of text in a chunk and of hashes in a bucket, about, where the input is large.
 CHUNK_BYTES, BUCKET_BYTES = 64 << 20, 128 << 20
@@ -75,12 +77,12 @@ def by_bucket(chunk: int, bucket: np.ndarray, keys: np.ndarray, extra: dict[str,
 
 def ask(spark_docs: DataFrame, send: Callable[[pa.Table], pa.Table], send_schema: str, answer: Callable[[pa.Table], pa.Table], answer_schema: str) -> DataFrame:
     """Chunks -> buckets -> answers, one row per chunk and bucket."""
-    return spark_docs.groupBy("chunk").applyInArrow(send, send_schema).groupBy("bucket").applyInArrow(answer, answer_schema)
+    return spark_docs.groupBy("chunk").applyInArrow(tidy(send), send_schema).groupBy("bucket").applyInArrow(tidy(answer), answer_schema)
 
 
 def gather(spark_docs: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Each chunk's documents with the answers to it."""
-    return spark_docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(use, schema)
+    return spark_docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(use), schema)
 
 
 def batches(rows: Iterator, names: list[str], types: list[pa.DataType]) -> pa.Table:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._columns import free, map_rows, quoted
+from ._memory import tidy
 
 #: White space by Unicode's property, as the pattern's \s has it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -158,7 +159,7 @@ def bpe(path: str, pattern: str) -> ByteBpe:
     return _LOADED[path, pattern]
 
 
-def groups(texts: list[str | None], most: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
+def groups(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts (null: empty) of about so many characters, with the first one's number; one text at least."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -208,4 +209,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 )
         tok.forget()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

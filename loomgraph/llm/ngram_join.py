@@ -39,6 +39,7 @@ from loomgraph.session import stored
 
 from . import _exchange as X
 from . import _vec as V
+from ._memory import tidy
 
 _VALUES = V.byte_values(1, fold_case=True)
 _U = np.uint64
@@ -264,7 +265,7 @@ def _rooms(reps: DataFrame, percent: int, buckets: int) -> DataFrame:
         e = np.unique(np.stack((doc, head))[:, ~new], axis=1)
         return pa.table({"src": pa.array(e[0], pa.int64()), "dst": pa.array(e[1], pa.int64())})
 
-    edges = reps.select("doc", "n", "tokens").mapInArrow(send, "bucket int, keys binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(star, "src long, dst long")
+    edges = reps.select("doc", "n", "tokens").mapInArrow(tidy(send), "bucket int, keys binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(tidy(star), "src long, dst long")
     return connected_components(edges).withColumnRenamed("node", "doc").withColumnRenamed("component", "room")
 
 
@@ -307,7 +308,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
             many = many[many > one] if both else many
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(many), f1[one]), np.full(len(many), f2[one]), f1[many], f2[many])], names=["f1", "f2", "g1", "g2"])
 
-    pairs = tasks.groupBy("room", "i", "j").applyInArrow(run, "f1 long, f2 long, g1 long, g2 long")
+    pairs = tasks.groupBy("room", "i", "j").applyInArrow(tidy(run), "f1 long, f2 long, g1 long, g2 long")
     return pairs, sets.where("f1 is not null").select(F.explode("docs").alias("doc_id"), "f1", "f2")
 
 
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         counts = [pa.concat_arrays([pa.array(x[some]), none[1]]) for x in (f1, f2, total)]
         return pa.table([*counts, *(pa.concat_arrays([none[0], pa.array(ids[tree[:, k]])]) for k in (0, 1))], names=["f1", "f2", "k", "src", "dst"])
 
-    found = stored(tasks.groupBy("room", "i", "j").applyInArrow(run, "f1 long, f2 long, k long, src long, dst long"))
+    found = stored(tasks.groupBy("room", "i", "j").applyInArrow(tidy(run), "f1 long, f2 long, k long, src long, dst long"))
     number = reps.select("f1", "f2", "doc", "copies").join(found.where("f1 is not null").groupBy("f1", "f2").agg(F.sum("k").alias("k")), ["f1", "f2"], "left")
     # a doc_id of several rows may have several sets, and joins them
     each = sets.where("f1 is not null").select(F.explode("docs").alias("d"), "f1", "f2")

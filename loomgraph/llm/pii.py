@@ -29,6 +29,7 @@ from loomgraph.session import stored
 
 from . import _vec as V
 from ._columns import free, map_rows, quoted
+from ._memory import tidy
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,7 +127,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["doc_id", "text", "base", "entities"],
             )
 
-    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, base array<int>, entities array<long>")
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, text string, base array<int>, entities array<long>")
 
 
 def _frequent(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -186,7 +187,7 @@ def _pairs(found: DataFrame, total: int, terms: DataFrame, entities: DataFrame,
             if held[0]:
                 yield from pa.Table.from_batches(rows(*held), schema).combine_chunks().to_batches(1 << 16)
 
-    return found.where("size(entities) > 0").select("doc_id", "text", "entities").mapInArrow(run, "doc_id long, entity long, term long")
+    return found.where("size(entities) > 0").select("doc_id", "text", "entities").mapInArrow(tidy(run), "doc_id long, entity long, term long")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
                 n = np.bincount(which, weights=np.concatenate([y for _, y in counted]), minlength=len(h)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], names=["term", "n"])
 
-    return docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return docs.mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _rate(both: Column, of: Column, support: int) -> Column:
@@ -274,7 +275,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i > 4 else pa.int64()) for i, c in enumerate(cols)], names=names)
 
     both = found.join(terms.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "base", "generalised", "removed")
-    return both.mapInArrow(finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return both.mapInArrow(tidy(finish), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str, low: list | None, high: list | None) -> str:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 
 from . import _exchange as X
 from . import _vec as V
+from ._memory import tidy
 
 _U = np.uint64
 _VALUES = V.byte_values(2)
@@ -301,5 +302,5 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     replies = X.ask(dealt, send, "bucket int, chunk int, entries binary, ids binary, runs binary, local binary", answer, "chunk int, bucket int, copies binary, need binary, ids binary")
     texts = X.gather(dealt, replies, fetch, "bucket int, chunk int, copies binary, need binary, ids binary, text binary")
-    spans = texts.groupBy("bucket").applyInArrow(expand, "chunk int, spans binary")
+    spans = texts.groupBy("bucket").applyInArrow(tidy(expand), "chunk int, spans binary")
     return X.gather(dealt, spans, use, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string")
