@@ -56,11 +56,16 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+#: Rows of an Arrow batch, in place of Spark's default: whole documents are wide rows, and executors keep buffers for several batches.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once in an application, so that they needn't have it installed."""
+    """Sends this package to the Python workers, once in an application, so that they needn't have it installed; and lowers Spark's default of rows in a batch."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
