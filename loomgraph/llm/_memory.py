@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import inspect
 from collections.abc import Callable
 from functools import wraps
 
 import pyarrow as pa
 
+#: Bytes by which a worker may grow before it gives back what it has freed.
+SLACK = 64 << 20
+_least = [1 << 62]
+
+
+def _resident() -> int:
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+    except OSError:  # not everywhere
+        return 0
+
 
 def release() -> None:
-    gc.collect()
+    """Gives freed memory back to the system if the worker has grown since it did so."""
+    now = _resident()
+    _least[0] = min(_least[0], now)
+    if now < _least[0] + SLACK:
+        return
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may have none
     if trim is not None:
         trim(0)
+    _least[0] = _resident()
 
 
 def tidy(f: Callable) -> Callable:
