@@ -62,10 +62,15 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """The same rows; where the session has Spark's default of rows in an Arrow batch, BATCH_ROWS take its place."""
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once in an application, so that they needn't have it installed; and lowers Spark's default of rows in a batch."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    """Sends this package to the Python workers, once in an application, so that they needn't have it installed."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
