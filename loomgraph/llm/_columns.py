@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.session import batched
+
 from ._memory import tidy
 
 
@@ -34,4 +36,4 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for batch in run(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=numbered)
 
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(tidy(renamed), out).toDF(*schema.names)
+    return batched(df).toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(tidy(renamed), out).toDF(*schema.names)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import batched
+
 from ._memory import tidy
 
 
@@ -44,7 +46,7 @@ def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
 
 def dealt(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and text columns alone, with the number of the chunk that each row belongs to."""
-    return docs.select(
+    return batched(docs).select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),

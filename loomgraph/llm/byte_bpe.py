@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomgraph.session import batched
+
 from ._columns import free, map_rows, quoted
 from ._memory import tidy
 
@@ -209,4 +211,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 )
         tok.forget()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batched(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

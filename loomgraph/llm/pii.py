@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import stored
+from loomgraph.session import batched, stored
 
 from . import _vec as V
 from ._columns import free, map_rows, quoted
@@ -127,7 +127,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["doc_id", "text", "base", "entities"],
             )
 
-    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, text string, base array<int>, entities array<long>")
+    return batched(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, text string, base array<int>, entities array<long>")
 
 
 def _frequent(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from loomgraph.session import batched
+
 from ._memory import tidy
 from .byte_bpe import SPACE
 
@@ -140,4 +142,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return batched(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
