@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.sources.ontology import Ontology, alias_index
+from loomgraph.sources.ontology import Ontology, alias_index, with_class_uris
 
 
 def checks(mentions: DataFrame, triples: DataFrame, onto: Ontology, *, domain: bool = True, range_: bool = True, predicate: bool = False, types: bool = False) -> DataFrame:
-    """(doc_id, ord, check, ok, message). An unknown predicate has no further checks; an end that is untyped, unknown or unconstrained has none."""
+    """(doc_id, ord, check, ok, message). Types count by URI or, without one, by label. An unknown predicate has no further checks; an end that is untyped, unknown or unconstrained has none."""
     out = []
     if types:
         index = alias_index(onto.classes, onto.triples).select(F.col("key").alias("__k"))
@@ -23,7 +23,7 @@ def checks(mentions: DataFrame, triples: DataFrame, onto: Ontology, *, domain: b
     if predicate:
         ok = F.col("__p").isNotNull()
         out.append(t.select("doc_id", "ord", F.lit("predicate").alias("check"), ok.alias("ok"), F.when(~ok, F.concat(name, F.lit("Predicate "), "predicate_sf", F.lit(" not in ontology"))).alias("message")))
-    last = mentions.groupBy("doc_id", F.col("surface_form").alias("__s")).agg(F.max_by("type_label", "ord").alias("type_label"), F.max_by("type_uri", "ord").alias("type_uri"))
+    last = with_class_uris(onto, mentions).groupBy("doc_id", F.col("surface_form").alias("__s")).agg(F.max_by("type_label", "ord").alias("type_label"), F.max_by("type_uri", "ord").alias("type_uri"))
     up = onto.closure.groupBy(F.col("uri").alias("__c")).agg(F.collect_set("ancestor_uri").alias("up"))
     for on, what, of, col, ends, place in ((domain, "domain", "Subject", "subject_sf", onto.domains, "domain"), (range_, "range", "Object", "object_sf", onto.ranges, "range")):
         if not on:

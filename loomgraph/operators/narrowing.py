@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import xsd
-from loomgraph.sources.ontology import Ontology
+from loomgraph.sources.ontology import Ontology, with_class_uris
 
 
 def narrow(onto: Ontology, groups: DataFrame, domain: bool = True, range_: bool = True) -> DataFrame:
     """(group, predicate_uri) of the predicates whose domain and range fit a group's types (group, type_uri).
 
     An end fits if it is unconstrained, not enforced, met by a type or a superclass of
-    one, or, for ranges, a datatype.
+    one, or, for ranges, a datatype. With a column type_label, types are resolved by
+    label where they have no URI of the ontology.
     """
+    if "type_label" in groups.columns:
+        groups = with_class_uris(onto, groups)
     up = groups.join(onto.closure, groups["type_uri"] == onto.closure["uri"]).select("group", "ancestor_uri").distinct()
     wanted = groups.select("group").distinct().join(F.broadcast(onto.predicates.select(F.col("uri").alias("predicate_uri"))))
 
@@ -30,6 +33,20 @@ def narrow(onto: Ontology, groups: DataFrame, domain: bool = True, range_: bool
     return fits(onto.domains, domain, False).join(fits(onto.ranges, range_, True), ["group", "predicate_uri"])
 
 
+def suggest_predicates(onto: Ontology, types: DataFrame, **flags) -> DataFrame:
+    """(uri, label, property_type, description, domain, range) of the predicates that fit the types found (type_uri, type_label); domain and range are class labels."""
+    fit = narrow(onto, types.select(F.lit(0).alias("group"), "type_uri", "type_label"), **flags).select(F.col("predicate_uri").alias("uri"))
+    labels = lambda end, name: end.groupBy(F.col("predicate_uri").alias("uri")).agg(F.array_sort(F.collect_set("class_label")).alias(name))
+    out = onto.predicates.join(fit, "uri", "left_semi").join(labels(onto.domains, "domain"), "uri", "left").join(labels(onto.ranges, "range"), "uri", "left")
+    none = F.array().cast("array<string>")
+    return out.select("uri", "label", "property_type", "description", F.coalesce("domain", none).alias("domain"), F.coalesce("range", none).alias("range"))
+
+
+def target_types(onto: Ontology) -> DataFrame:
+    """(label, uri, description) of the classes to extract, by label."""
+    return onto.classes.select("label", "uri", "description").orderBy("label", "uri")
+
+
 def narrow_batch(onto: Ontology, groups: DataFrame, **flags) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same for many groups, each set of types answered once.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import aggregate, conformance, dedup, serialize, stats, views
 from loomgraph.session import stored
-from loomgraph.sources.ontology import Ontology, compatible_pairs
+from loomgraph.sources.ontology import Ontology, compatible_pairs, with_class_uris
 
 #: An extractor takes a document's text and returns entities (surface form, type or None) and relations (subject, predicate, object).
 Extractor = Callable[[str], tuple[list[tuple[str, str | None]], list[tuple[str, str, str]]]]
@@ -66,7 +66,7 @@ def mentions_of(extracted: DataFrame, onto: Ontology | None = None) -> DataFrame
     m = extracted.select("doc_id", F.posexplode("entities").alias("ord", "e")).select("doc_id", F.col("ord").cast("long").alias("ord"), "e.surface_form", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("string").alias("description"), "e.type_label", F.array("doc_id").alias("provenance_ids"))
     if onto is None:
         return m.withColumn("type_uri", F.lit(None).cast("string"))
-    return m.join(onto.classes.select(F.col("label").alias("type_label"), F.col("uri").alias("type_uri")).dropDuplicates(["type_label"]), "type_label", "left")
+    return with_class_uris(onto, m.withColumn("type_uri", F.lit(None).cast("string")))
 
 
 def triples_of(extracted: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from loomgraph.streaming import jobs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 _NS = star.NS
-_PLACES, _PLACED = ("Region", "Nation", "Customer", "Supplier"), ("in", "located in")
 
 
 def query(sql: str | None):
@@ -160,25 +159,31 @@ def superclass_closure(spark, d):
     return onto.closure.join(onto.classes.select("uri"), "uri").select(local("uri").alias("class"), local("ancestor_uri").alias("ancestor"))
 
 
-_CHECKED = ("Nation", "Region", "Customer", "Supplier", "Part", "Brand")
-_REVERSED_SQL = f"""tr AS (SELECT doc_id, ord, s, p, o FROM ({star.sql_triples(("in", "located in", "has brand"))}) UNION ALL SELECT 'reversed', n_nationkey, r_name, 'located in', n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+_REVERSED_SQL = f"""tr AS (SELECT doc_id, ord, s, p, o FROM ({star.sql_triples()}) UNION ALL SELECT 'reversed', n_nationkey, r_name, 'located in', n_name FROM nation JOIN region ON n_regionkey = r_regionkey
     UNION ALL SELECT 'reversed', 1000 + n_nationkey, n_name, 'borders', r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
-    kind AS (SELECT DISTINCT surface_form AS sf, type_label AS c FROM ({star.sql_mentions(_CHECKED)})),
+    kind AS (SELECT DISTINCT surface_form AS sf, type_label AS c FROM ({star.sql_mentions()})),
     checks AS (SELECT doc_id, ord, 'predicate' AS "check", p IN (SELECT p FROM preds) AS ok FROM tr
         UNION ALL SELECT doc_id, ord, 'domain', EXISTS (SELECT 1 FROM super JOIN dom ON super.a = dom.c WHERE super.c = k.c AND dom.p = tr.p) FROM tr JOIN kind k ON k.sf = tr.s WHERE p IN (SELECT p FROM dom)
         UNION ALL SELECT doc_id, ord, 'range', EXISTS (SELECT 1 FROM super JOIN rng ON super.a = rng.c WHERE super.c = k.c AND rng.p = tr.p) FROM tr JOIN kind k ON k.sf = tr.o WHERE p IN (SELECT p FROM rng))"""
 
 
-def _conformance(spark, d, predicates=("in", "located in", "has brand"), kinds=_CHECKED):
-    t = star.triples(spark, d, predicates).select("doc_id", "ord", "subject_sf", "predicate_sf", "object_sf")
+def _conformance(spark, d, types=lambda m: m):
+    t = star.triples(spark, d).select("doc_id", "ord", "subject_sf", "predicate_sf", "object_sf")
     pairs = star.table(spark, d, "nation").join(star.table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
     t = t.union(pairs.selectExpr("'reversed'", "cast(n_nationkey as long)", "r_name", "'located in'", "n_name")).union(pairs.selectExpr("'reversed'", "cast(1000 + n_nationkey as long)", "n_name", "'borders'", "r_name"))
-    m = star.mentions(spark, d, kinds).select("surface_form", "type_label", "type_uri").distinct()
+    m = types(star.mentions(spark, d).select("surface_form", "type_label", "type_uri").distinct())
     ends = t.select("doc_id", F.col("subject_sf").alias("surface_form")).union(t.select("doc_id", "object_sf")).distinct()
     m = ends.join(m, "surface_form").select("doc_id", F.lit(0).cast("long").alias("ord"), "surface_form", "type_label", "type_uri")
     return t, conformance.checks(m, t, star.onto(spark), predicate=True)
 
 
+def _conformance_rows(spark, d, types):
+    return _conformance(spark, d, types)[1]
+
+
+_WHOLE_GRAPH = f'WITH {_onto_sql()}, {_REVERSED_SQL} SELECT doc_id, ord, "check", ok FROM checks'
+
+
 @query(f'WITH {_onto_sql()}, {_REVERSED_SQL} SELECT doc_id, ord, "check", ok FROM checks')
 def conformance_checks(spark, d):
     return _conformance(spark, d)[1].select("doc_id", "ord", "check", "ok")
@@ -300,26 +305,20 @@ def top_relations(spark, d):
     return view_model.top_relations(star.triples(spark, d)).withColumnRenamed("predicate_sf", "predicate")
 
 
-@query(f"SELECT DISTINCT surface_form FROM ({star.sql_mentions()}) WHERE surface_form NOT IN (SELECT s FROM ({star.sql_triples(('supplies', 'has brand'))}) UNION SELECT o FROM ({star.sql_triples(('supplies', 'has brand'))}))")
+@query(f"WITH tr AS ({star.sql_triples()}) SELECT DISTINCT surface_form FROM ({star.sql_mentions()}) WHERE surface_form NOT IN (SELECT s FROM tr UNION SELECT o FROM tr)")
 def isolated_entities(spark, d):
-    return view_model.isolated(star.mentions(spark, d), star.triples(spark, d, ("supplies", "has brand")))
-
-
-_PLACE_SQL = f"edge AS (SELECT s AS a, o AS b FROM ({star.sql_triples(_PLACED)}) UNION SELECT o, s FROM ({star.sql_triples(_PLACED)})), node AS (SELECT DISTINCT surface_form AS a FROM ({star.sql_mentions(_PLACES)}))"
-_REACH_SQL = f"WITH RECURSIVE {_PLACE_SQL}, reach(a, b) AS (SELECT a, a FROM node UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)"
+    return view_model.isolated(*_graph(spark, d))
 
 
-@query(_REACH_SQL + " SELECT a AS node, min(b) AS component FROM reach GROUP BY a")
+@query(None)
 def connected_places(spark, d):
-    return view_model.components(*_graph(spark, d, _PLACES, _PLACED)).select("node", "component")
+    """Components of the whole graph; the tests hold them against a union-find."""
+    return view_model.components(*_graph(spark, d)).select("node", "component")
 
 
-@query(
-    _REACH_SQL + ", comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT count(*) AS n, count(DISTINCT c) AS c FROM comp), m AS (SELECT count(*) AS m, count(DISTINCT p) AS p FROM (" + star.sql_triples(_PLACED) + "))"
-    " SELECT n AS entities, m AS relations, p AS relation_types, 0 AS clusters, (SELECT count(*) FROM node WHERE a NOT IN (SELECT a FROM edge)) AS isolated, c AS components, round(2.0 * m / n, 2) AS average_degree, round(m / (n * (n - 1.0)), 3) AS density FROM n, m"
-)
+@query(None)
 def graph_stats(spark, d):
-    return view_model.graph_stats(*_graph(spark, d, _PLACES, _PLACED))
+    return view_model.graph_stats(*_graph(spark, d))
 
 
 @query(f"SELECT concat('e', row_number() OVER (ORDER BY lower(p), lower(s), lower(o), p, s, o) - 1) AS edge_id, s AS subject, p AS predicate, o AS object FROM (SELECT DISTINCT s, p, o FROM ({star.sql_triples()}))")
@@ -328,19 +327,18 @@ def edge_ids(spark, d):
     return e.select("edge_id", F.col("subject_sf").alias("subject"), F.col("predicate_sf").alias("predicate"), F.col("object_sf").alias("object"))
 
 
-@query(f"SELECT s AS src, o AS dst, arg_max(p, (doc_id, ord)) AS relation FROM ({star.sql_triples(('in', 'located in', 'has brand'))}) GROUP BY s, o")
+@query(f"SELECT s AS src, o AS dst, arg_max(p, (doc_id, ord)) AS relation FROM ({star.sql_triples()}) GROUP BY s, o")
 def simple_digraph(spark, d):
-    t = star.triples(spark, d, ("in", "located in", "has brand")).withColumn("o", F.struct("doc_id", "ord"))
-    return view_model.simple_digraph(t, "o")
+    return view_model.simple_digraph(star.triples(spark, d).withColumn("o", F.struct("doc_id", "ord")), "o")
 
 
 @query(
-    f"""WITH tr AS (SELECT DISTINCT s, p, o FROM ({star.sql_triples(('in', 'located in', 'supplies'))})), seed AS (SELECT n_name AS node FROM nation WHERE n_nationkey = 0),
+    f"""WITH tr AS (SELECT DISTINCT s, p, o FROM ({star.sql_triples()})), seed AS (SELECT n_name AS node FROM nation WHERE n_nationkey = 0),
     near AS (SELECT node FROM seed UNION SELECT o FROM tr JOIN seed ON s = node UNION SELECT s FROM tr JOIN seed ON o = node) SELECT DISTINCT concat(s, ' ', p, ' ', o, '.') AS sentence FROM tr WHERE s IN (SELECT node FROM near) OR o IN (SELECT node FROM near)"""
 )
 def khop_context(spark, d):
     seeds = star.table(spark, d, "nation").where("n_nationkey = 0").select(F.col("n_name").alias("node"))
-    return retrieval.context(star.triples(spark, d, ("in", "located in", "supplies")), seeds, depth=2)
+    return retrieval.context(star.triples(spark, d), seeds, depth=2)
 
 
 @query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding, q.embedding), 5) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(e.embedding, q.embedding) DESC, e.vec_id LIMIT 8")
@@ -380,20 +378,6 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).withColumn("rank", rank).where("rank <= 5").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
 
 
-@query(
-    f"""WITH {_BM25_SQL}, f AS (SELECT item_id, doc_id, round(0.5 * s + 0.5 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score FROM bm JOIN embeddings a ON a.vec_id = item_id JOIN embeddings b ON b.vec_id = doc_id)
-    SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 16"""
-)
-def rank_fusion(spark, d):
-    v = star.table(spark, d, "embeddings")
-    lexical = _bm25(spark, d)
-    x, y = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    both = lexical.join(x, "query_id").join(y, "id").select("query_id", "id", "bm25", cosine(F.col("qv"), F.col("v")).alias("cosine"))
-    fused = both.select("query_id", "id", F.round(0.5 * F.col("bm25") + 0.5 * F.col("cosine"), 4).alias("bm25"))
-    out = retrieval.fuse(fused, fused.select("query_id", "id", F.lit(0.0).alias("cosine")), k=16, share=1.0)
-    return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
-
-
 def _cosines(spark, d) -> DataFrame:
     """(query_id, id, cosine) of every item that has a vector with every vector."""
     v = star.table(spark, d, "embeddings")
@@ -407,8 +391,8 @@ def _cosines(spark, d) -> DataFrame:
     f AS (SELECT item_id, doc_id, 0.5 * coalesce(s, 0) + 0.5 * coalesce(c, 0) AS score FROM (SELECT item_id, doc_id, round(s, 4) AS s FROM bm) FULL JOIN c USING (item_id, doc_id))
     SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 16"""
 )
-def whole_rank_fusion(spark, d):
-    """rank_fusion with the candidates of either side: of the words alone, or of the vectors alone."""
+def rank_fusion(spark, d):
+    """Candidates of either side: of the words alone, or of the vectors alone."""
     out = retrieval.fuse(_bm25(spark, d).withColumn("bm25", F.round("bm25", 4)), _cosines(spark, d).withColumn("cosine", F.round("cosine", 6)), 16, 0.5)
     return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
 
@@ -458,39 +442,3 @@ def generate_graph(spark, d):
     corpus = star.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     g = pipeline.generate(corpus)
     return view_model.degrees(g.entities, g.triples).select("node", "degree")
-
-
-# Over the whole graph, all kinds and predicates -------------------------------------------------
-
-_WHOLE_CHECKS_SQL = _REVERSED_SQL.replace(star.sql_triples(("in", "located in", "has brand")), star.sql_triples()).replace(star.sql_mentions(_CHECKED), star.sql_mentions())
-
-
-@query(f'WITH {_onto_sql()}, {_WHOLE_CHECKS_SQL} SELECT doc_id, ord, "check", ok FROM checks')
-def whole_conformance_checks(spark, d):
-    return _conformance(spark, d, None, None)[1].select("doc_id", "ord", "check", "ok")
-
-
-@query(f"WITH {_onto_sql()}, {_WHOLE_CHECKS_SQL} SELECT doc_id, round(avg(CAST(ok AS DOUBLE)), 6) AS score FROM checks GROUP BY doc_id")
-def whole_conformance_score(spark, d):
-    t, checked = _conformance(spark, d, None, None)
-    return conformance.score(t, checked).select("doc_id", F.round("score", 6).alias("score"))
-
-
-@query(f"SELECT s AS src, o AS dst, arg_max(p, (doc_id, ord)) AS relation FROM ({star.sql_triples()}) GROUP BY s, o")
-def whole_simple_digraph(spark, d):
-    return view_model.simple_digraph(star.triples(spark, d).withColumn("o", F.struct("doc_id", "ord")), "o")
-
-
-@query(f"WITH tr AS ({star.sql_triples()}) SELECT DISTINCT surface_form FROM ({star.sql_mentions()}) WHERE surface_form NOT IN (SELECT s FROM tr UNION SELECT o FROM tr)")
-def whole_isolated_entities(spark, d):
-    return view_model.isolated(*_graph(spark, d))
-
-
-@query(None)
-def whole_components(spark, d):
-    return view_model.components(*_graph(spark, d)).select("node", "component")
-
-
-@query(None)
-def whole_graph_stats(spark, d):
-    return view_model.graph_stats(*_graph(spark, d))

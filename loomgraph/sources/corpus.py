@@ -32,6 +32,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return docs.drop("bad")
 
 
+def parse_list(texts: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """The records of lists given inline, as JSON text; text that is no list has none."""
+    return texts.select(F.explode(F.from_json(column, f"array<struct<{schema}>>")).alias("r")).select("r.*")
+
+
 def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file that holds a list of records."""
     return spark.read.schema(schema).json(path, multiLine=True)

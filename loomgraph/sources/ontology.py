@@ -130,6 +130,17 @@ def resolve_class(onto: Ontology, rows: DataFrame, uri: str, label: str, into: s
     return out.withColumn(into, F.coalesce("__s", "__by")).drop("__s", "__k", "__by", "__n")
 
 
+def with_class_uris(onto: Ontology, rows: DataFrame) -> DataFrame:
+    """The rows with the ``type_uri`` that their type resolves to, by URI or by label; one that doesn't resolve stays as it is.
+
+    Each distinct type is resolved once.
+    """
+    kinds = resolve_class(onto, rows.select("type_uri", "type_label").where("type_uri is not null or type_label is not null").distinct(), "type_uri", "type_label", "__r")
+    known = kinds.where("__r is not null").select(F.col("type_uri").alias("__u"), F.col("type_label").alias("__l"), "__r")
+    same = F.col("type_uri").eqNullSafe(F.col("__u")) & F.col("type_label").eqNullSafe(F.col("__l"))
+    return rows.join(known, same, "left").withColumn("type_uri", F.coalesce("__r", "type_uri")).drop("__u", "__l", "__r")
+
+
 def compatible_pairs(onto: Ontology) -> DataFrame:
     """(a, b) of class URIs of which one is the other or an ancestor of it."""
     up = onto.closure.select(F.col("uri").alias("a"), F.col("ancestor_uri").alias("b"))

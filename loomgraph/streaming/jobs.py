@@ -80,6 +80,18 @@ def listing(state: DataFrame, order: str = "updated_at") -> DataFrame:
     return state.orderBy(F.desc(order), "job_id").limit(LISTED)
 
 
+def known(asked: DataFrame, state: DataFrame) -> DataFrame:
+    """The states of the jobs asked for (job_id); those that are gone are left out."""
+    return state.join(asked.select("job_id").distinct(), "job_id", "left_semi")
+
+
+def bounded(state: DataFrame, most: int = LISTED) -> DataFrame:
+    """A store of at most ``most`` jobs: above that the finished ones go, the oldest first; those that run or wait always stay."""
+    over = max(0, state.count() - most)
+    old = state.where(F.col("status").isin("completed", "failed")).orderBy("updated_at", "job_id").limit(over).select("job_id")
+    return state.join(old, "job_id", "left_anti")
+
+
 def progress(state: DataFrame) -> DataFrame:
     """Adds percent and eta to (processed_docs, total_docs, elapsed)."""
     return state.withColumn("percent", percent(F.col("processed_docs"), F.col("total_docs"))).withColumn("eta", eta(F.col("processed_docs"), F.col("total_docs"), F.col("elapsed")))

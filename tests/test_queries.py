@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from loomgraph.plans import catalog  # noqa: F401  registers more of them
 from loomgraph.plans import queries as Q
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -31,11 +31,11 @@ def component(graph):
 
 
 def test_components(spark, component):
-    assert dict(Q.QUERIES["whole_components"](spark, DATA).select("node", "component").collect()) == component
+    assert dict(Q.QUERIES["connected_places"](spark, DATA).select("node", "component").collect()) == component
 
 
 def test_stats(spark, graph, component):
     names, triples = graph
     n, m, ends = len(component), len(triples), {x for s, _, o in triples for x in (s, o)}
     want = {"entities": n, "relations": m, "relation_types": 7, "clusters": 0, "isolated": len(names - ends), "components": len(set(component.values())), "average_degree": round(2 * m / n, 2), "density": round(m / (n * (n - 1)), 3)}
-    assert Q.QUERIES["whole_graph_stats"](spark, DATA).first().asDict() == want
+    assert Q.QUERIES["graph_stats"](spark, DATA).first().asDict() == want
