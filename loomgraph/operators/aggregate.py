@@ -63,13 +63,15 @@ def apply_clusters(mentions: DataFrame, triples: DataFrame, entity_clusters: Dat
 def numbered(df: DataFrame, order: list[str], name: str, prefix: str = "e") -> DataFrame:
     """Consecutive identifiers in a global order, without sorting in one partition.
 
-    Rows are range-partitioned by the order; each partition's rows are numbered after
-    the counts of the partitions before it, which are as many numbers as partitions.
+    Rows are range-partitioned and sorted by the order; each partition's rows are
+    numbered in place, after the counts of the partitions before it, which are as many
+    numbers as partitions. No second exchange follows.
     """
     from loomgraph.session import cut
 
-    parts = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = cut(ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)))  # a row's partition, above its place there
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__b", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))
-    at = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return parts.join(F.broadcast(before), "__p").withColumn(name, F.concat(F.lit(prefix), (at + F.col("__b")).cast("string"))).drop("__p", "__b")
+    at = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__b")
+    return parts.join(F.broadcast(before), "__p").withColumn(name, F.concat(F.lit(prefix), at.cast("string"))).drop("__p", "__b", "__id")
