@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -161,14 +162,26 @@ def bpe(path: str, pattern: str) -> ByteBpe:
     return _LOADED[path, pattern]
 
 
-def groups(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts (null: empty) of about so many characters, with the first one's number; one text at least."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i == len(texts) - 1:
-            yield at, [x or "" for x in texts[at : i + 1]]
-            at, size = i + 1, 0
+def groups(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of consecutive batches with texts (in the numbered column; null: empty) of about so many bytes; one row at least."""
+    held, size = [], 0
+
+    def together() -> tuple[pa.RecordBatch, list[str]]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return rows, [t or "" for t in rows.column(text).to_pylist()]
+
+    for batch in batches:
+        at = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+            size += n
+            if size >= most:
+                held.append(batch.slice(at, i + 1 - at))
+                yield together()
+                held, size, at = [], 0, i + 1
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield together()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -179,13 +192,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 
     def run(batches):
         tok = bpe(path, pattern)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for at, part in groups(texts):
-                coded = tok.encode(part)
-                ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in coded], pa.list_(pa.int32()))
-                back = pa.array([tok.decode(x).decode("utf-8", "replace") for x in coded], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns[:-1], ids, back], names=out.names)
+        for rows, texts in groups(batches, len(out.fields) - 2):
+            coded = tok.encode(texts)
+            ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in coded], pa.list_(pa.int32()))
+            back = pa.array([tok.decode(x).decode("utf-8", "replace") for x in coded], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], ids, back], names=out.names)
         tok.forget()
 
     return map_rows(given, run, out)
@@ -196,19 +207,17 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches):
         tok = bpe(path, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, part in groups(texts):
-                coded = tok.encode(part)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(part)),
-                        pa.array([len(x) // 4 for x in coded], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
-                        pa.array([hashlib.sha256(tok.decode(x)).hexdigest() for x in coded]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for rows, texts in groups(batches, 1):
+            coded = tok.encode(texts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0),
+                    pa.array([len(x) // 4 for x in coded], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
+                    pa.array([hashlib.sha256(tok.decode(x)).hexdigest() for x in coded]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
         tok.forget()
 
     return batched(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

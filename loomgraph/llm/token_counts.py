@@ -29,8 +29,8 @@ from .byte_bpe import SPACE
 
 #: Words whose counts a worker keeps.
 CACHE = 1_000_000
-#: Characters of the longest word whose count is kept.
-LONG = 256
+#: Characters of the longest word whose count is kept; bytes of the longest whose lists aren't packed.
+LONG, SHORT = 256, 4096
 _ODD = re.compile("[\x1c-\x1f]")  # white space to str.split() alone
 _SPACES = re.compile(f"[{SPACE}]+")
 
@@ -70,10 +70,13 @@ class Counter(dict):
     def merged(self, word: str) -> int:
         """Tokens of one pre-token."""
         raw = word.encode()
-        symbols = array("i", map(self.first.__getitem__, raw))
+        n, ranks, result = len(raw), self.ranks, self.result
+        if n == 1:
+            return 1
+        of = list if n <= SHORT else lambda x: array("i", x)  # a long run's numbers are packed
+        symbols = of(map(self.first.__getitem__, raw))
         symbols[-1] = self.last[raw[-1]]
-        n, ranks, result = len(symbols), self.ranks, self.result
-        after, before, merges = array("i", range(1, n + 1)), array("i", range(-1, n - 1)), 0
+        after, before, merges = of(range(1, n + 1)), of(range(-1, n - 1)), 0
         after[-1] = -1
         # rank and place in one number
         heap = [r << 32 | i for i in range(n - 1) if (r := ranks.get(symbols[i] << 32 | symbols[i + 1])) is not None]
