@@ -18,6 +18,10 @@ from loomgraph.session import drop, kept
 from .skew import heavy_join
 
 
+#: Edges in a file of a round, about: the edges don't grow, so few need few files and few tasks to read them.
+ROWS = 200_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -43,7 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = _with_least(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         small = _with_least(large, before[0])
         turned = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e, last = kept(turned.unionAll(small.select("a", F.col("m").alias("b"))).unionAll(e.where("a = b")).distinct())
+        e, last = kept(turned.unionAll(small.select("a", F.col("m").alias("b"))).unionAll(e.where("a = b")).distinct().coalesce(1 + before[0] // ROWS))
         now = _mark(e)
         drop(spark, path)
         path = last
