@@ -10,7 +10,7 @@ from functools import wraps
 import pyarrow as pa
 
 #: Bytes by which a worker may grow before it gives back what it has freed.
-SLACK = 64 << 20
+SLACK = 128 << 20
 _least = [1 << 62]
 
 
