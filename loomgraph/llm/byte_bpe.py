@@ -192,7 +192,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 
     def run(batches):
         tok = bpe(path, pattern)
-        for rows, texts in groups(batches, len(out.fields) - 2):
+        # fewer at a time than for digests: ids and decoded texts are sent on beside them
+        for rows, texts in groups(batches, len(out.fields) - 2, 2 << 20):
             coded = tok.encode(texts)
             ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in coded], pa.list_(pa.int32()))
             back = pa.array([tok.decode(x).decode("utf-8", "replace") for x in coded], pa.string())
