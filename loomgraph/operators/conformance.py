@@ -41,6 +41,7 @@ def checks(mentions: DataFrame, triples: DataFrame, onto: Ontology, *, domain: b
 
 
 def score(documents: DataFrame, checked: DataFrame) -> DataFrame:
-    """(doc_id, score, errors): share of checks passed, 1 without any; messages joined in order."""
-    per = checked.groupBy("doc_id").agg(F.avg(F.col("ok").cast("double")).alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("check", "ord", "message")))), lambda x: x.message), "; ").alias("errors"))
+    """(doc_id, score, errors): share of checks passed, 1 without any; messages of types first, then by relation: predicate, domain, range."""
+    place = F.when(F.col("check") == "type", 0).otherwise(1), F.col("ord"), F.array_position(F.array(*map(F.lit, ("type", "predicate", "domain", "range"))), F.col("check"))
+    per = checked.groupBy("doc_id").agg(F.avg(F.col("ok").cast("double")).alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct(*[x.alias(f"o{i}") for i, x in enumerate(place)], "message")))), lambda x: x.message), "; ").alias("errors"))
     return documents.select("doc_id").distinct().join(per, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("errors", F.lit("")).alias("errors"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
@@ -122,3 +122,35 @@ def suggest_clusters(mentions: DataFrame, vectors: DataFrame | None = None, thre
     """Merges to review, none of them made."""
     forms = canonical_forms(string_keys(mentions))
     return clusters(semantic(forms, vectors, threshold) if vectors is not None else forms)
+
+
+#: The methods that can be asked for; only the first is there, as the others need a language model.
+METHODS = ("semhash", "lm_based", "full")
+
+
+def run(mentions: DataFrame, triples: DataFrame, method: str = "full", vectors: DataFrame | None = None, threshold: float = 0.95, **more):
+    """``deduplicate`` by the name of a method; an empty graph comes back as it is.
+
+    ValueError for a method that isn't offered, or one besides the first without vectors.
+    """
+    if method not in METHODS or (method != METHODS[0] and vectors is None):
+        raise ValueError(f"{method}: no such method, or no vectors for it")
+    if mentions.isEmpty() and triples.isEmpty():
+        return mentions, triples, None, None
+    if method != METHODS[0]:
+        raise ValueError(f"{method}: needs a language model")
+    return deduplicate(mentions, triples, vectors=vectors, threshold=threshold, **more)
+
+
+def write_proposal(proposal: DataFrame, path: str) -> dict:
+    """Proposed clusters (canonical, members) as JSON lines for review, and their numbers."""
+    rows = proposal.select(F.col("canonical").alias("representative"), "members")
+    rows.write.mode("overwrite").json(path)
+    n = proposal.sparkSession.read.schema("representative string, members array<string>").json(path).agg(F.count("*").alias("clusters"), F.sum(F.size("members")).alias("members")).first()
+    return {"num_entity_clusters": n.clusters, "num_clustered_entities": n.members or 0, "output_file": path}
+
+
+def read_proposal(spark: SparkSession, path: str) -> DataFrame:
+    """(canonical, member, ord) of a reviewed proposal, as ``apply_clusters`` takes it."""
+    rows = spark.read.schema("representative string, members array<string>").json(path)
+    return rows.select(F.col("representative").alias("canonical"), F.explode("members").alias("member"), F.xxhash64("representative").alias("ord"))

@@ -35,6 +35,12 @@ def eta(done: Column, total: Column, elapsed: Column) -> Column:
     return F.when((done > 0) & (elapsed > 0), F.greatest(total - done, F.lit(0)) / (done / elapsed))
 
 
+def reports(done: Column, total: Column, share: int = 5) -> Column:
+    """Whether a count of finished documents, failed ones too, is worth a line: the first to pass each ``share`` per cent, and the last."""
+    step = lambda n: F.floor(n * 100 / (total * share))
+    return (total > 0) & ((done == total) | (step(done) > step(done - 1)))
+
+
 def headers(stats: DataFrame, most: int = 1024) -> DataFrame:
     """(name, value) that fit a header: Latin-1 and not too long."""
     return stats.where(~F.col("value").rlike(r"[^\x00-\xFF]") & (F.length("value") <= most))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import aggregate, conformance, dedup, serialize, stats, views
+from loomgraph.operators import aggregate, conformance, dedup, narrowing, serialize, stats, views
 from loomgraph.session import stored
 from loomgraph.sources.ontology import Ontology, compatible_pairs, with_class_uris
 
@@ -83,6 +83,65 @@ def conforming(mentions: DataFrame, triples: DataFrame, onto: Ontology, **flags)
     return triples.join(failed, ["doc_id", "ord"], "left_anti")
 
 
+#: Takes a text, its entities (surface form, type or None), the predicates that fit them, and what was wrong the time before (None at first); returns relations.
+Relater = Callable[[str, list[tuple[str, str | None]], list[str], str | None], list[tuple[str, str, str]]]
+
+
+def relate(corpus: DataFrame, mentions: DataFrame, relater: Relater, onto: Ontology, attempts: int = 2, **flags) -> DataFrame:
+    """(doc_id, entities, relations, error, score) of every document, by a relater that is told the predicates narrowed to its types.
+
+    Relations that pass every check are taken; other documents are asked again, with
+    the messages as feedback. After the last attempt a document's last answer stays,
+    whatever its score; only one that never answered has an error. With ``predicate``
+    among the flags a document that no predicate fits has no relations.
+    """
+    ends = {k: v for k, v in flags.items() if k in ("domain", "range_")}
+    labels = onto.predicates.select(F.col("uri").alias("predicate_uri"), "label")
+    fit = narrowing.narrow(onto, mentions.select(F.col("doc_id").alias("group"), "type_uri", "type_label"), **ends)
+    fit = fit.join(F.broadcast(labels), "predicate_uri").groupBy(F.col("group").alias("doc_id")).agg(F.array_sort(F.collect_set("label")).alias("predicates"))
+    named = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "surface_form", "type_label"))).alias("e"))
+    named = named.select("doc_id", F.transform("e", lambda x: F.struct(x.surface_form.alias("surface_form"), x.type_label.alias("type_label"))).alias("entities"))
+    rows = corpus.select(F.col("id").cast("string").alias("doc_id"), "text").join(named, "doc_id", "left").join(fit, "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.coalesce("entities", F.array().cast(_ENTITY)).alias("entities"), F.coalesce("predicates", F.array().cast("array<string>")).alias("predicates"))
+    rows = rows.select("*", F.lit(None).cast("string").alias("feedback"), F.lit(None).cast(_RELATION).alias("relations"), F.lit(None).cast("string").alias("error"))
+    schema = f"doc_id string, text string, entities {_ENTITY}, predicates array<string>, feedback string, relations {_RELATION}, error string"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found, errors = [], []
+            for text, entities, predicates, feedback, last in zip(pdf["text"], pdf["entities"], pdf["predicates"], pdf["feedback"], pdf["relations"]):
+                error = None
+                try:
+                    if flags.get("predicate") and not len(predicates):
+                        last = []
+                    else:
+                        got = relater(text or "", [(e["surface_form"], e["type_label"]) for e in entities], list(predicates), feedback)
+                        last = [dict(zip(("subject", "predicate", "object"), r)) for r in got]
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                found.append(last)
+                errors.append(error)
+            yield pdf.assign(relations=pd.Series(found, pdf.index, object), error=pd.Series(errors, pdf.index, object))
+
+    done = None
+    for attempt in range(attempts):
+        out = stored(rows.mapInPandas(run, schema))
+        scored = stored(conformance.score(out, conformance.checks(mentions, triples_of(out), onto, **flags)))
+        out = out.join(scored.withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d")).drop("__d")
+        good = F.col("error").isNull() & (F.col("score") == 1)
+        taken = out if attempt == attempts - 1 else out.where(good)
+        none = F.col("relations").isNull()
+        taken = taken.select("doc_id", "entities", F.coalesce("relations", F.array().cast(_RELATION)).alias("relations"), F.when(none, F.col("error")).alias("error"), "score")
+        done = taken if done is None else done.unionByName(taken)
+        rows = out.where(~good).withColumn("feedback", F.when(F.col("error").isNull(), F.col("errors")).otherwise(F.col("feedback"))).select(*rows.columns)
+    return done
+
+
+def model_settings(model: str, temperature: float, max_tokens: int) -> tuple[float, int]:
+    """Temperature and number of tokens that a model takes: one family wants 1.0 at least and 16,000 at least."""
+    return (max(temperature, 1.0), max(max_tokens, 16_000)) if "gpt-5" in model else (temperature, max_tokens)
+
+
 def generate(corpus: DataFrame, extractor: Extractor = rule_extractor, onto: Ontology | None = None, *, deduplicate: bool = True, enforce: bool = False) -> Graph:
     """Corpus (id, text) to a merged graph. Extraction runs once and is stored; edges merge only without an ontology."""
     extracted = stored(extract(corpus, extractor))

@@ -32,6 +32,11 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _path(spark, path)
+    return fs.exists(where)
+
+
 def kept(df: DataFrame) -> tuple[DataFrame, str]:
     """``stored``, and where: for ``drop``."""
     spark = df.sparkSession

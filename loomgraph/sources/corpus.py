@@ -72,11 +72,35 @@ def write_graph(entities: DataFrame, relations: DataFrame, path: str, compress:
     return {"num_entities": entities.count(), "num_relations": relations.count(), "output_file": path}
 
 
+def _nodes(rows: DataFrame, column: str) -> DataFrame:
+    """(entity_id, n, surface_form): a graph's nodes as JSON text, whether listed or keyed by id."""
+    given = F.coalesce(F.get_json_object(column, "$.entities"), F.get_json_object(column, "$.nodes"))
+    keyed, listed = F.from_json(given, "map<string,string>"), F.from_json(given, "array<string>")
+    pairs = F.when(F.ltrim(given).startswith("{"), F.map_entries(keyed)).otherwise(F.transform(listed, lambda n: F.struct(F.get_json_object(n, "$.id").alias("key"), n.alias("value"))))
+    n = rows.select(F.explode(pairs).alias("x")).select(F.col("x.key").alias("entity_id"), F.col("x.value").alias("n"))
+    return n.withColumn("surface_form", F.coalesce(*[F.get_json_object("n", f"$.{k}") for k in ("surface_form", "id", "label")], "n"))
+
+
+def graph_entities(rows: DataFrame, column: str = "value") -> DataFrame:
+    """(entity_id, surface_form, uri, description, type_label, type_uri, provenance_ids) of graph JSON: all that it tells of its entities."""
+    of = lambda path: F.get_json_object("n", f"$.{path}")
+    ids = F.coalesce(F.from_json(of("provenance_ids"), "array<string>"), F.array().cast("array<string>"))
+    return _nodes(rows, column).select("entity_id", "surface_form", of("uri").alias("uri"), of("description").alias("description"), of("type.label").alias("type_label"), of("type.uri").alias("type_uri"), ids.alias("provenance_ids"))
+
+
+def graph_clusters(rows: DataFrame, column: str = "value", kind: str = "entities") -> DataFrame:
+    """(canonical, members) of graph JSON's clusters of entities or edges, members by surface form."""
+    single = {"entities": "entity_clusters", "edges": "edge_clusters"}[kind]
+    given = F.coalesce(F.get_json_object(column, f"$.clusters.{kind}"), F.get_json_object(column, f"$.{single}"))
+    c = rows.select(F.explode(F.from_json(given, "map<string,array<string>>")).alias("canonical", "m"))
+    name = lambda m: F.coalesce(F.get_json_object(m, "$.surface_form"), m)
+    return c.select("canonical", F.array_sort(F.transform("m", name)).alias("members"))
+
+
 def normalize_graph(rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Entities (surface_form) and triples (subject, predicate, object) of graph JSON under any of the usual names."""
     field = lambda *names: F.coalesce(*[F.get_json_object(F.col(column), f"$.{n}") for n in names])
-    nodes = rows.select(F.explode(F.from_json(field("entities", "nodes"), "array<string>")).alias("n"))
-    entities = nodes.select(F.coalesce(F.get_json_object("n", "$.surface_form"), F.get_json_object("n", "$.id"), F.get_json_object("n", "$.label"), F.col("n")).alias("surface_form")).distinct()
+    entities = _nodes(rows, column).select("surface_form").distinct()
     edge = rows.select(F.posexplode(F.from_json(field("relations", "triples", "edges"), "array<string>")).alias("ord", "r"))
     part = lambda i, *names: F.coalesce(*[F.get_json_object("r", f"$.{n}") for n in names], F.get_json_object("r", f"$[{i}]"))
     return entities, edge.select("ord", part(0, "subject", "source").alias("subject"), part(1, "predicate", "relation", "label").alias("predicate"), part(2, "object", "target").alias("object"))

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import blob_id
 from loomgraph.operators.stats import eta, percent
+from loomgraph.session import exists, stored
 
 JOB = "job_id string, payload string, attempts int, created_at double"
 #: Attempts before a job is dead, jobs that a listing shows, and seconds that states and blobs live.
 MAX_ATTEMPTS, LISTED, STATE_TTL, BLOB_TTL = 3, 128, 86_400, 21_600
+BEAT = "job_id string, processed_docs long, total_docs long, beat_at double"
 ERROR_CHARS = 1000
 
 
@@ -97,9 +99,40 @@ def progress(state: DataFrame) -> DataFrame:
     return state.withColumn("percent", percent(F.col("processed_docs"), F.col("total_docs"))).withColumn("eta", eta(F.col("processed_docs"), F.col("total_docs"), F.col("elapsed")))
 
 
+def beat(spark: SparkSession, root: str, job_id: str, processed: int, total: int) -> None:
+    """A running job's sign of life and its progress so far."""
+    _append(spark.createDataFrame([(job_id, processed, total, time.time())], BEAT), f"{root}/beats")
+
+
+def with_beats(state: DataFrame, beats: DataFrame) -> DataFrame:
+    """Adds processed_docs, total_docs and seen_at: the last beat, or the last event of a job without one."""
+    last = beats.groupBy("job_id").agg(F.max_by(F.struct("processed_docs", "total_docs"), "beat_at").alias("b"), F.max("beat_at").alias("beat_at"))
+    return state.join(last, "job_id", "left").select(*state.columns, "b.processed_docs", "b.total_docs", F.greatest("updated_at", "beat_at").alias("seen_at"))
+
+
+def abandoned(state: DataFrame, beats: DataFrame, idle: float, now: float | None = None) -> DataFrame:
+    """The jobs said to run of which nothing was heard for ``idle`` seconds."""
+    return with_beats(state, beats).where((F.col("status") == "running") & (F.col("seen_at") < (time.time() if now is None else now) - idle))
+
+
+def reclaim(spark: SparkSession, queue: str, root: str, idle: float) -> int:
+    """Puts abandoned jobs back into the queue, with the attempts they have used, and notes that they wait; their number.
+
+    A job that was slow rather than lost runs twice, and overwrites its own result.
+    """
+    beats = spark.read.parquet(f"{root}/beats") if exists(spark, f"{root}/beats") else spark.createDataFrame([], BEAT)
+    lost = abandoned(states(spark.read.parquet(f"{root}/events")), beats, idle).select("job_id", "attempts")
+    payload = spark.read.schema(JOB).json(queue).groupBy("job_id").agg(F.max_by("payload", "created_at").alias("payload"))
+    again = payload.join(lost, "job_id").select("job_id", "payload", "attempts", F.lit(time.time()).alias("created_at"))
+    again = stored(again)  # the queue is read above and written below
+    again.write.mode("append").json(queue)
+    _append(again.select("job_id", F.lit("pending").alias("status"), "attempts", F.col("created_at").alias("at"), F.lit("abandoned").alias("error")), f"{root}/events")
+    return again.count()
+
+
 def result(spark: SparkSession, root: str, job_id: str) -> DataFrame:
-    """A completed job's result; KeyError if there is no such job, RuntimeError if it isn't done or has failed."""
-    found = states(spark.read.parquet(f"{root}/events")).where(F.col("job_id") == job_id).collect()
+    """A completed job's result; KeyError if there is no such job or it has expired, RuntimeError if it isn't done or has failed."""
+    found = states(spark.read.parquet(f"{root}/events"), time.time()).where(F.col("job_id") == job_id).collect()
     if not found:
         raise KeyError(job_id)
     if found[0].status == "failed":
@@ -110,9 +143,14 @@ def result(spark: SparkSession, root: str, job_id: str) -> DataFrame:
 
 
 def put_blobs(blobs: DataFrame, path: str, content: str = "content") -> DataFrame:
-    """Stores contents by their address, each once; returns (key, content)."""
-    keyed = blobs.select(blob_id(content).alias("key"), F.col(content).alias("content"), F.lit(time.time() + BLOB_TTL).alias("expires_at")).dropDuplicates(["key"])
-    _append(keyed, path)
+    """Stores contents by their address, each once, also across calls while it lives; returns (key, content)."""
+    now = time.time()
+    keyed = blobs.select(blob_id(content).alias("key"), F.col(content).alias("content"), F.lit(now + BLOB_TTL).alias("expires_at")).dropDuplicates(["key"])
+    new = keyed
+    if exists(blobs.sparkSession, path):
+        there = blobs.sparkSession.read.parquet(path).where(F.col("expires_at") > now).select("key")
+        new = keyed.join(there, "key", "left_anti")
+    _append(new, path)
     return keyed
 
 

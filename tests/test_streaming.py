@@ -45,3 +45,17 @@ def test_states_expire(spark):
     e = spark.createDataFrame([("a", "running", 1, now, None), ("a", "completed", 1, now, None), ("b", "failed", 3, now - 2 * jobs.STATE_TTL, "x")], "job_id string, status string, attempts int, at double, error string")
     assert {(r.job_id, r.status) for r in jobs.states(e, now).collect()} == {("a", "completed")}
     assert [r.job_id for r in jobs.listing(jobs.states(e)).collect()] == ["a", "b"]
+
+
+def test_abandoned_jobs_run_again(spark, tmp_path):
+    queue, root = str(tmp_path / "queue"), str(tmp_path / "root")
+    lost, busy = (jobs.enqueue(spark, queue, p) for p in ("lost", "busy"))
+    old = time.time() - 100
+    jobs._append(spark.createDataFrame([(j, "running", 1, old, None) for j in (lost, busy)], "job_id string, status string, attempts int, at double, error string"), f"{root}/events")
+    jobs.beat(spark, root, busy, 3, 10)
+    state = jobs.states(spark.read.parquet(f"{root}/events"))
+    seen = {r.job_id: r for r in jobs.with_beats(state, spark.read.parquet(f"{root}/beats")).collect()}
+    assert (seen[busy].processed_docs, seen[busy].total_docs) == (3, 10) and seen[lost].processed_docs is None
+    assert jobs.reclaim(spark, queue, root, 50) == 1 and jobs.reclaim(spark, queue, root, 50) == 0
+    waiting = [(r.job_id, r.payload, r.attempts) for r in spark.read.schema(jobs.JOB).json(queue).where("attempts > 0").collect()]
+    assert waiting == [(lost, "lost", 1)]
