@@ -12,6 +12,7 @@ from loomgraph.plans import star
 from loomgraph.plans.queries import _CAMEL_SQL, _FORMS_SQL, _KNOWN_SQL, _NARROW_SQL, _STATUS_SQL, _WHOLE_GRAPH, _conformance_rows, _forms, _joined, query
 from loomgraph.sources import corpus
 from loomgraph.sources import ontology as O
+from loomgraph.sources.validate import validate_graph
 from loomgraph.streaming import jobs
 
 _NS = star.NS
@@ -262,3 +263,75 @@ def graph_roundtrip(spark, d):
     return corpus.normalize_graph(g)[1].select(F.col("subject").alias("name"), F.col("object").alias("region"))
 
 
+_CHECKED = "concat('{\"entities\": {\"e0\": {', CASE WHEN p_size % 2 = 0 THEN concat('\"surface_form\": \"', p_brand, '\"') ELSE '' END, '}}, \"relations\": [{\"subject_id\": \"e0\", \"predicate\": {}, \"is_literal\": ', CASE WHEN p_size % 3 = 0 THEN 'true' ELSE '0' END, '}]', CASE WHEN p_size % 5 = 0 THEN '' ELSE ', \"stats\": {}' END, '}')"
+
+
+@query(
+    """SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 = 0 AND p_size % 5 <> 0 AS valid, array_to_string(list_filter([CASE WHEN p_size % 5 = 0 THEN 'stats: is missing' END,
+    CASE WHEN p_size % 2 <> 0 THEN 'entities.e0.surface_form: is missing' END, CASE WHEN p_size % 3 <> 0 THEN 'relations.0.is_literal: isn''t a truth value' END], lambda x: x IS NOT NULL), '; ') AS errors FROM part"""
+)
+def graph_validation(spark, d):
+    rows = star.table(spark, d, "part").select("p_partkey", F.expr(_CHECKED).alias("value"))
+    return validate_graph(rows).select("p_partkey", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("SELECT concat('e', n_nationkey) AS entity_id, n_name AS surface_form, concat('n:', n_nationkey) AS uri, r_name AS type_label, concat('r:', r_regionkey) AS type_uri, concat(n_nationkey, ',', r_regionkey) AS provenance FROM nation JOIN region ON n_regionkey = r_regionkey")
+def graph_entities(spark, d):
+    """Entities written into a graph's JSON and loaded with all that it tells of them."""
+    n = star.table(spark, d, "nation").join(star.table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    kind = F.struct(F.col("r_name").alias("label"), F.concat(F.lit("r:"), "r_regionkey").alias("uri")).alias("type")
+    sources = F.array(F.col("n_nationkey").cast("string"), F.col("r_regionkey").cast("string")).alias("provenance_ids")
+    e = n.select(F.concat(F.lit("e"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("surface_form"), F.concat(F.lit("n:"), "n_nationkey").alias("uri"), kind, sources)
+    loaded = corpus.graph_entities(corpus.graph_json(e, n.selectExpr("n_name as subject", "'in' as predicate", "r_name as object")))
+    return loaded.select("entity_id", "surface_form", "uri", "type_label", "type_uri", F.array_join("provenance_ids", ",").alias("provenance"))
+
+
+_BEATS_SQL = "SELECT CAST(user_id AS VARCHAR) AS job_id, event_id % 11 AS processed_docs, event_id AS beat_at FROM events WHERE event_type <> 'signup'"
+
+
+def _beats(spark, d):
+    e = star.table(spark, d, "events")
+    state = e.groupBy(F.col("user_id").cast("string").alias("job_id")).agg(F.when(F.max("event_id") % 2 == 0, "running").otherwise("completed").alias("status"), (F.min("event_id") + 100).cast("double").alias("updated_at"))
+    beats = e.where("event_type <> 'signup'").selectExpr("cast(user_id as string) as job_id", "event_id % 11 as processed_docs", "11L as total_docs", "cast(event_id as double) as beat_at")
+    return state, beats
+
+
+@query(
+    f"""SELECT s.job_id, b.processed_docs, CAST(greatest(s.updated_at, coalesce(b.beat_at, s.updated_at)) AS BIGINT) AS seen_at FROM (SELECT CAST(user_id AS VARCHAR) AS job_id, min(event_id) + 100 AS updated_at FROM events GROUP BY 1) s
+    LEFT JOIN (SELECT job_id, arg_max(processed_docs, beat_at) AS processed_docs, max(beat_at) AS beat_at FROM ({_BEATS_SQL}) GROUP BY 1) b USING (job_id)"""
+)
+def job_beats(spark, d):
+    return jobs.with_beats(*_beats(spark, d)).select("job_id", F.col("processed_docs").cast("long").alias("processed_docs"), F.col("seen_at").cast("long").alias("seen_at"))
+
+
+@query(
+    f"""SELECT s.job_id FROM (SELECT CAST(user_id AS VARCHAR) AS job_id, min(event_id) + 100 AS updated_at, max(event_id) AS m FROM events GROUP BY 1) s LEFT JOIN (SELECT job_id, max(beat_at) AS beat_at FROM ({_BEATS_SQL}) GROUP BY 1) b USING (job_id)
+    WHERE m % 2 = 0 AND greatest(updated_at, coalesce(beat_at, updated_at)) < 400"""
+)
+def jobs_abandoned(spark, d):
+    return jobs.abandoned(*_beats(spark, d), idle=600.0, now=1000.0).select("job_id")
+
+
+@query("SELECT doc_id, (doc_id + 1 = n OR floor((doc_id + 1) * 100 / (n * 5.0)) > floor(doc_id * 100 / (n * 5.0))) AS due FROM documents, (SELECT count(*) AS n FROM documents)")
+def progress_reports(spark, d):
+    docs = star.table(spark, d, "documents").select("doc_id")
+    return docs.select("doc_id", stats.reports(F.col("doc_id") + 1, F.lit(docs.count())).alias("due"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, s_name AS subject, 'located in' AS predicate, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def relate_again(spark, d):
+    """A relater that answers rightly only when told what was wrong: every supplier, at the second attempt."""
+    from loomgraph.plans import pipeline
+
+    n = star.table(spark, d, "supplier").join(star.table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"))
+    doc = n.select(F.col("s_suppkey").cast("string").alias("id"), F.concat_ws("|", "s_name", "n_name").alias("text"))
+    parts = F.split("text", r"\|")
+    m = doc.select(F.col("id").alias("doc_id"), F.posexplode(F.array(F.struct(parts[0].alias("surface_form"), F.lit("Vendor").alias("type_label")), F.struct(parts[1].alias("surface_form"), F.lit("Country").alias("type_label")))).alias("ord", "e"))
+    m = m.select("doc_id", F.col("ord").cast("long").alias("ord"), "e.*", F.lit(None).cast("string").alias("type_uri"))
+
+    def relater(text, entities, predicates, feedback):
+        a, b = text.split("|")
+        return [(a, "located in", b)] if feedback else [(b, "located in", a)]
+
+    out = pipeline.relate(doc, m, relater, star.onto(spark))
+    return out.where("score = 1").select("doc_id", F.explode("relations").alias("r")).select("doc_id", "r.*")
