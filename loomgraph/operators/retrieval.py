@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators.similarity import nearest
-from loomgraph.session import cut
+from loomgraph.session import cut, stored
 
 
 def sentence(s="subject_sf", p="predicate_sf", o="object_sf"):
@@ -46,19 +46,28 @@ def retrieve(nodes: DataFrame, relations: DataFrame, query: list[float], k: int
     return " ".join(r.sentence for r in rows)
 
 
+#: Rows of query terms up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, query_id: str, text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id, bm25) of the documents that share a word with a query (Okapi, idf floored at a quarter of its mean)."""
-    tokens = docs.select(F.col(id_col).alias("id"), T.bm25_tokens(text).alias("w"))
-    sizes = tokens.select("id", F.size("w").alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    tf = tokens.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("t").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = 0.25 * (idf.agg(F.avg("idf")).first()[0] or 0.0)
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
+    """(query_id, id, bm25) of the documents (ids are unique) that share a word with a query (Okapi, idf floored at a quarter of its mean).
+
+    Only occurrences of query terms travel, once, to their document's partition: counts,
+    scores and a ranking's first cut by query need no further exchange.
+    """
+    tokens = docs.select(F.col(id_col).alias("id"), T.bm25_tokens(text).alias("w")).withColumn("dl", F.size("w"))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(T.bm25_tokens(query_text)).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("qf"))
-    hit = q.join(idf.select("t", "idf"), "t").join(tf, "t").join(sizes, "id")
+    idf = tokens.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    idf = stored(idf.withColumn("idf", F.log((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    floor = 0.25 * (idf.agg(F.avg("idf")).first()[0] or 0.0)
+    asked = stored(q.join(idf.select("t", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf")), "t"))
+    small = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda df: df)
+    found = tokens.select("id", "dl", F.explode("w").alias("t")).join(small(asked.select("t").distinct()), "t", "left_semi")
+    tf = found.repartition("id").groupBy("id", "t", "dl").agg(F.count("*").alias("tf"))
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl)))
-    return hit.groupBy("query_id", "id").agg(F.sum(weight).alias("bm25"))
+    return tf.join(small(asked), "t").groupBy("query_id", "id").agg(F.sum(weight).alias("bm25"))
 
 
 def fuse(lexical: DataFrame, cosine: DataFrame, k: int = 16, share: float = 0.5) -> DataFrame:
