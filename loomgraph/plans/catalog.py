@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions import xsd
-from loomgraph.operators import aggregate, dedup, narrowing, serialize, stats, view_model, views
+from loomgraph.operators import aggregate, dedup, judged, narrowing, serialize, stats, view_model, views
 from loomgraph.plans import star
 from loomgraph.plans.queries import _CAMEL_SQL, _FORMS_SQL, _KNOWN_SQL, _NARROW_SQL, _STATUS_SQL, _WHOLE_GRAPH, _conformance_rows, _forms, _joined, query
 from loomgraph.sources import corpus
@@ -335,3 +335,21 @@ def relate_again(spark, d):
 
     out = pipeline.relate(doc, m, relater, star.onto(spark))
     return out.where("score = 1").select("doc_id", F.explode("relations").alias("r")).select("doc_id", "r.*")
+
+
+@query("SELECT count(*) AS items, true AS whole, true AS bounded FROM embeddings WHERE embedding IS NOT NULL")
+def judged_blocks(spark, d):
+    """Blocks of items for a judge: each item in one, none above its size."""
+    b = judged.blocks(star.table(spark, d, "embeddings"), "vec_id", "embedding")
+    each = b.groupBy("block").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("k"))
+    return each.agg(F.sum("n").alias("items"), (F.sum("n") == F.sum("k")).alias("whole"), (F.max("n") <= judged.BLOCK).alias("bounded"))
+
+
+@query("SELECT n_name AS canonical, concat(n_name, v) AS member FROM nation, (VALUES (''), (' (N)')) t(v)")
+def judged_merges(spark, d):
+    """Nations under two names each, judged in blocks by region: the shorter name stands for both."""
+    n = star.table(spark, d, "nation")
+    names = n.select("n_regionkey", "n_name", F.explode(F.array(F.lit(""), F.lit(" (N)"))).alias("v")).select(F.concat("n_name", "v").alias("item"), F.col("n_regionkey").alias("block"), "n_name")
+    near = names.select("item", F.array("n_name", F.concat("n_name", F.lit(" (N)"))).alias("candidates"))
+    merged = judged.merges(names.select("item", "block"), near, lambda item, c: (min(c, key=len), [x for x in c if x != item]))
+    return merged.select("canonical", "member")
