@@ -60,8 +60,8 @@ def apply_clusters(mentions: DataFrame, triples: DataFrame, entity_clusters: Dat
     return e, t.groupBy("subject_sf", "predicate_sf", "object_sf").agg(joined(order))
 
 
-def numbered(df: DataFrame, order: list[str], name: str, prefix: str = "e") -> DataFrame:
-    """Consecutive identifiers in a global order, without sorting in one partition.
+def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds every row's place, from 0, in a global order, without sorting in one partition.
 
     Rows are range-partitioned and sorted by the order; each partition's rows are
     numbered in place, after the counts of the partitions before it, which are as many
@@ -74,4 +74,9 @@ def numbered(df: DataFrame, order: list[str], name: str, prefix: str = "e") -> D
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__b", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))
     at = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__b")
-    return parts.join(F.broadcast(before), "__p").withColumn(name, F.concat(F.lit(prefix), at.cast("string"))).drop("__p", "__b", "__id")
+    return parts.join(F.broadcast(before), "__p").withColumn(name, at).drop("__p", "__b", "__id")
+
+
+def numbered(df: DataFrame, order: list[str], name: str, prefix: str = "e") -> DataFrame:
+    """Consecutive identifiers in a global order: a prefix and the row's place."""
+    return placed(df, order, name).withColumn(name, F.concat(F.lit(prefix), F.col(name).cast("string")))
