@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, ngram_join, pii, quality, substring_dedup, suffix_dedup, token_counts, topk, toxicity
+from . import byte_bpe, decontamination, importance, lexical_search, license_scan, ngram_join, pii, quality, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=3, buckets=10_000, percent=5, least_words=20, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,4 +123,27 @@ ORACLE_SQL: dict[str, str] = {
         gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(s, s + 50)) AS p FROM x JOIN f USING (g) WHERE first < doc_id) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN gone USING (doc_id)""",
+    "op11_ranked_lexical_search": f"""
+        WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents), s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+        tf AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
+        df AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, n_docs),
+        q AS (SELECT DISTINCT item_id, unnest({_PLAIN}) AS t FROM benchmark),
+        r AS (SELECT item_id, doc_id, CAST(sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN df USING (t) JOIN tf USING (t), s GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""",
+    "op13_importance_resampling": f"""
+        WITH RECURSIVE x AS (SELECT 's' AS side, doc_id, {_PLAIN} AS w FROM documents UNION ALL SELECT 't', NULL, {_PLAIN} FROM benchmark),
+        f AS (SELECT side, doc_id, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))), list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])))) AS g FROM x),
+        poly(i, step, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE step < 8),
+        tab AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE step = 8),
+        u AS (SELECT g, hex(encode(g)) AS h, strlen(g) AS n FROM (SELECT DISTINCT g FROM f)),
+        crc(g, h, n, p, v) AS (SELECT g, h, n, 0, 4294967295 FROM u UNION ALL SELECT g, h, n, p + 1, xor(v >> 8, t[1 + (xor(v, CAST(concat('0x', substr(h, 2 * p + 1, 2)) AS BIGINT)) & 255)]) FROM crc, tab WHERE p < n),
+        bucket AS (SELECT g, xor(v, 4294967295) % 10000 AS b FROM crc WHERE p = n),
+        c AS (SELECT b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM f JOIN bucket USING (g) GROUP BY b),
+        total AS (SELECT CAST(sum(s) AS BIGINT) AS s_all, CAST(sum(t) AS BIGINT) AS t_all FROM c),
+        gain AS (SELECT b, CAST(floor(1000 * ln(((t + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM c, total),
+        weighed AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN bucket USING (g) JOIN gain USING (b) WHERE side = 's' GROUP BY doc_id),
+        scored AS (SELECT x.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('42:', x.doc_id)), 1, 8)) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM x LEFT JOIN weighed USING (doc_id) WHERE side = 's'),
+        drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20 QUALIFY rank <= floor(5 * count(*) OVER () / 100))
+        SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)""",
 }
