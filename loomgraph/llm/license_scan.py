@@ -6,9 +6,9 @@ all documents).  A template stands in a file if words of at least ``threshold``
 weight stand in place, so at least one of its rarest words, those that hold more than
 the rest of the weight, must be there: the index holds the places of these words
 alone.  A file's words that are in the index are looked up, every posting proposes
-where the template would begin, proposals that lie near each other (words may be put in
-between) are one region, and there the words in place are summed and the key phrases
-looked for.  Short phrases are templates of their own that must stand whole.
+where the template would begin, proposals that lie near each other are one region, and
+there the words that stand in order are summed (some may be put in or left out) and the
+key phrases looked for.  Short phrases are templates of their own that must stand whole.
 
 Two passes read the texts: one counts in how many documents each word of a template
 is, which leaves a task as one row a word, the other scans.  Templates are a parameter
@@ -71,6 +71,8 @@ TEMPLATES = (
 
 #: Share of a template's weight that must stand in place; words that may be put in between.
 THRESHOLD, SLACK = 0.8, 12
+#: Regions that are summed together.
+REGIONS = 4096
 
 
 def _words(text: str) -> list[bytes]:
@@ -146,39 +148,35 @@ class Index:
         return self.postings.keys().isdisjoint(part)
 
     def _regions(self, words: np.ndarray, i: int, starts: np.ndarray, slack: int) -> Iterator[tuple[int, int, float, bool]]:
-        """Proposed beginnings of a template, those near each other together, with the words in place summed."""
-        wording, whole = self.wording[i], self.need[i] >= 1
+        """Proposed beginnings of a template, those near each other together, with the weight of its words that stand there in order.
+
+        What is summed is the heaviest common subsequence within a band of shifts around
+        the beginning, for many regions at once: words may be put in or left out.
+        """
+        wording, weight, whole = self.wording[i], self.weight[i], self.need[i] >= 1
         if whole:
             slack = 0
             starts = starts[(starts >= 0) & (starts + len(wording) <= len(words))]
-        in_place = np.zeros((len(starts), len(wording)), bool) if len(starts) * len(wording) <= 1 << 24 else None
-        heads = []  # places in starts where a region begins
-        at = 0
+        heads, at = [], 0
         while at < len(starts):
-            heads.append(at)
+            heads.append(int(starts[at]))
             at = int(np.searchsorted(starts, starts[at] + slack, "right"))
-        bounds = [*heads, len(starts)]
-        if in_place is not None:
-            for q, w in enumerate(wording):
-                p = starts + q
-                inside = (p >= 0) & (p < len(words))
-                in_place[inside, q] = words[p[inside]] == w
-            together = np.logical_or.reduceat(in_place, heads, axis=0) if heads else in_place
-            shares = together @ self.weight[i]
-        else:  # a text of very many proposals: a word of the template at a time
-            shares = np.zeros(len(heads))
+        margin = len(wording) + 2 * slack
+        padded = np.concatenate((np.full(margin, -2, np.int32), words, np.full(margin + slack, -2, np.int32)))
+        for k in range(0, len(heads), REGIONS):
+            some = np.array(heads[k : k + REGIONS], np.int64)
+            at = some[:, None] + np.arange(-slack, 2 * slack + 1) + margin
+            best = np.zeros(at.shape)
             for q, w in enumerate(wording):
-                p = starts + q
-                inside = (p >= 0) & (p < len(words))
-                inside[inside] = words[p[inside]] == w
-                shares += np.logical_or.reduceat(inside, heads) * self.weight[i][q]
-        for k in range(len(heads)):
-            low, high = max(0, int(starts[bounds[k]])), min(len(words), int(starts[bounds[k + 1] - 1]) + len(wording))
-            share = min(1.0, float(shares[k]))
-            if whole and share < 1 - 1e-9:
-                continue
-            good = share >= self.need[i] - 1e-9 and all(_holds(words[low:high], key) for key in self.keys[i])
-            yield low, high, share, good
+                more = best + weight[q] * (padded[at + q] == w)
+                more[:, :-1] = np.maximum(more[:, :-1], best[:, 1:])  # a word of the template left out
+                best = np.maximum.accumulate(more, axis=1)  # words put in
+            for head, share in zip(some.tolist(), best.max(axis=1).tolist()):
+                if whole and share < 1 - 1e-9:
+                    continue
+                low, high = max(0, head - slack), min(len(words), head + 2 * slack + len(wording))
+                good = share >= self.need[i] - 1e-9 and all(_holds(words[low:high], key) for key in self.keys[i])
+                yield low, high, min(1.0, share), good
 
 
 def _holds(words: np.ndarray, phrase: np.ndarray) -> bool:
