@@ -21,19 +21,26 @@ def ordered_provenance(c: str, order: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("ids")))), lambda x: x.ids)))
 
 
-def merge_mentions(mentions: DataFrame) -> DataFrame:
-    """Entities by surface form and type label; graphs in the order of doc_id, ord."""
+def _merge(rows: DataFrame, keys: list[str], known: tuple[str, ...], first: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each key: of ``known`` columns the first value that isn't null, of ``first`` that of the first record, and the sources in the order in which they were first seen.
+
+    Repeats of a source meet before the list is made, which holds each once.
+    """
     order = F.struct("doc_id", "ord")
-    return mentions.groupBy("surface_form", "type_label").agg(
-        first_known("uri", order).alias("uri"), F.min_by("description", order).alias("description"), first_known("type_uri", order).alias("type_uri"), provenance().alias("provenance_ids")
-    )
+    told = lambda c: F.min(F.when(F.col(c).isNotNull() | F.lit(c in first), F.struct(order.alias("o"), F.col(c).alias("v")))).alias(c)
+    each = rows.withColumn("__source", F.explode_outer("provenance_ids")).groupBy(*keys, "__source").agg(*map(told, (*known, *first)), F.min(order).alias("__o"))
+    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("__source").isNotNull(), F.struct("__o", "__source")))), lambda x: x["__source"])
+    return each.groupBy(*keys).agg(*[F.min(c).getField("v").alias(c) for c in (*known, *first)], ids.alias("provenance_ids"))
+
+
+def merge_mentions(mentions: DataFrame) -> DataFrame:
+    """Entities by surface form and type label; graphs in the order of doc_id, ord. ``provenance.Ledger`` keeps the same without lists."""
+    return _merge(mentions, ["surface_form", "type_label"], ("uri", "type_uri"), ("description",))
 
 
 def merge_triples(triples: DataFrame) -> DataFrame:
     """Relations by the three surface forms; types play no part."""
-    order = F.struct("doc_id", "ord")
-    uris = [first_known(c, order).alias(c) for c in ("subject_uri", "predicate_uri", "object_uri") if c in triples.columns]
-    return triples.groupBy("subject_sf", "predicate_sf", "object_sf").agg(*uris, provenance().alias("provenance_ids"))
+    return _merge(triples, ["subject_sf", "predicate_sf", "object_sf"], tuple(c for c in ("subject_uri", "predicate_uri", "object_uri") if c in triples.columns))
 
 
 def merge_metadata(rows: DataFrame, key: str = "entity", values: str = "values") -> DataFrame:

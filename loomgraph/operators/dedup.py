@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators.components import connected_components
-from loomgraph.operators.similarity import similar_pairs
+from loomgraph.operators.similarity import similar_groups
 
 
 def string_keys(items: DataFrame, col: str = "surface_form", ascii_only: bool = False) -> DataFrame:
@@ -113,8 +113,9 @@ def deduplicate(mentions: DataFrame, triples: DataFrame, *, edges: bool = True,
 def semantic(forms: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """(surface_form, canonical) after similar canonical forms have merged too: components of the pairs at the threshold, least form first."""
     heads = forms.select("canonical").distinct().join(vectors.withColumnRenamed("surface_form", "canonical"), "canonical")
-    pairs = similar_pairs(heads, "canonical", "embedding", threshold)
-    merged = connected_components(pairs, "a", "b").withColumnRenamed("node", "__n")
+    pairs, copies = similar_groups(heads, "canonical", "embedding", threshold)
+    edges = pairs.select("a", "b").unionAll(copies.where("canonical <> head").select("canonical", "head"))
+    merged = connected_components(edges, "a", "b").withColumnRenamed("node", "__n")
     return forms.join(merged, forms["canonical"] == merged["__n"], "left").select("surface_form", F.coalesce("component", "canonical").alias("canonical"))
 
 

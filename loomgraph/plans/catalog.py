@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions import xsd
-from loomgraph.operators import aggregate, dedup, judged, narrowing, serialize, stats, view_model, views
+from loomgraph.operators import aggregate, dedup, judged, narrowing, provenance, serialize, similarity, stats, view_model, views
+from loomgraph.operators.components import Forest
 from loomgraph.plans import star
-from loomgraph.plans.queries import _CAMEL_SQL, _FORMS_SQL, _KNOWN_SQL, _NARROW_SQL, _STATUS_SQL, _WHOLE_GRAPH, _conformance_rows, _forms, _joined, query
+from loomgraph.plans.queries import _CAMEL_SQL, _PAIRS_SQL, _FORMS_SQL, _KNOWN_SQL, _NARROW_SQL, _STATUS_SQL, _WHOLE_GRAPH, _conformance_rows, _forms, _joined, query
 from loomgraph.sources import corpus
 from loomgraph.sources import ontology as O
+from loomgraph.session import scratch
 from loomgraph.sources.validate import validate_graph
 from loomgraph.streaming import jobs
 
@@ -353,3 +355,52 @@ def judged_merges(spark, d):
     near = names.select("item", F.array("n_name", F.concat("n_name", F.lit(" (N)"))).alias("candidates"))
     merged = judged.merges(names.select("item", "block"), near, lambda item, c: (min(c, key=len), [x for x in c if x != item]))
     return merged.select("canonical", "member")
+
+
+_MENTION_KEYS, _TRIPLE_KEYS = ["surface_form", "type_label"], ["subject_sf", "predicate_sf", "object_sf"]
+_FIRST = "arg_min(doc_id, (doc_id, ord)) AS doc_id, arg_min(ord, (doc_id, ord)) AS ord"
+
+
+@query(f"SELECT surface_form, type_label, prov AS source, {_FIRST} FROM ({star.sql_mentions()}) GROUP BY surface_form, type_label, prov")
+def mention_sources(spark, d):
+    """Provenance of the graph's entities as a table."""
+    return provenance.sources(provenance.facts(star.mentions(spark, d), _MENTION_KEYS), _MENTION_KEYS)
+
+
+@query(f"SELECT s AS subject, p AS predicate, o AS object, prov AS source, {_FIRST} FROM ({star.sql_triples()}) GROUP BY s, p, o, prov")
+def relation_sources(spark, d):
+    t = provenance.sources(provenance.facts(star.triples(spark, d), _TRIPLE_KEYS), _TRIPLE_KEYS)
+    return t.select(F.col("subject_sf").alias("subject"), F.col("predicate_sf").alias("predicate"), F.col("object_sf").alias("object"), "source", "doc_id", "ord")
+
+
+@query(f"SELECT surface_form, type_label, min(type_uri) AS type_uri, count(DISTINCT prov) AS n_sources FROM ({star.sql_mentions()}) GROUP BY surface_form, type_label")
+def provenance_upsert(spark, d):
+    """A ledger to which the graph's mentions come in three parts, the last of which holds all again: the same as of all at once."""
+    m = star.mentions(spark, d)
+    ledger = provenance.Ledger(spark, scratch(spark), _MENTION_KEYS, buckets=8)
+    for part in (m.where("ord % 3 = 2"), m.where("ord % 3 = 0"), m):
+        ledger.add(provenance.facts(part, _MENTION_KEYS, ("type_uri",)))
+    return provenance.merged(ledger.read(), _MENTION_KEYS, ("type_uri",))
+
+
+_REACH_SQL = "e AS (SELECT a, b FROM pairs WHERE s >= 0.4 UNION SELECT b, a FROM pairs WHERE s >= 0.4), reach(a, b) AS (SELECT a, a FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), least AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"
+
+
+def _forest(spark, d, parts: int):
+    """Components of similar vectors, whose pairs come in several additions."""
+    pairs = similarity.similar_pairs(star.table(spark, d, "embeddings"), "vec_id", "embedding", 0.4)
+    forest = Forest(spark, scratch(spark), buckets=8)
+    for i in range(parts):
+        forest.add(pairs.where((F.col("a") + F.col("b")) % parts == i), "a", "b")
+    return forest.components()
+
+
+@query(f"WITH RECURSIVE {_PAIRS_SQL}, {_REACH_SQL} SELECT node, component FROM least")
+def growing_components(spark, d):
+    return _forest(spark, d, 3)
+
+
+@query(f"WITH RECURSIVE {_PAIRS_SQL}, {_REACH_SQL}, c AS (SELECT component, count(*) AS size, min(lower(CAST(node AS VARCHAR))) AS low FROM least GROUP BY component) SELECT row_number() OVER (ORDER BY size DESC, low) - 1 AS rank, component, size FROM c")
+def growing_component_order(spark, d):
+    """The same components by size, then by the least of their members' names."""
+    return view_model.component_order(_forest(spark, d, 2).select("component", F.col("node").cast("string").alias("node")))

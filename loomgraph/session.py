@@ -37,13 +37,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    where, fs = _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path beside the checkpoints, which goes with all below it when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
 def kept(df: DataFrame) -> tuple[DataFrame, str]:
     """``stored``, and where: for ``drop``."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    where, fs = _path(spark, path)
-    fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
