@@ -4,14 +4,15 @@ Every round is four grouped joins; the edge set never grows and converges in
 O(log^2 n) rounds whatever the diameter.  A round's edges are stored in the shared
 folder, so that lineage stays flat and a lost executor costs one round at most, and
 the round before is deleted.  Before the first round every task joins what is connected
-within its own edges, HELD nodes at a time, so that rounds begin with stars.  A node with many edges, such as the centre of a star,
+within its own edges, HELD nodes at a time, so that rounds begin with stars; where FINISH
+edges or fewer are left, one task does the same with them, and no round is needed.  A node with many edges, such as the centre of a star,
 doesn't gather them in one task: its least neighbour is aggregated in the map tasks
 first and goes to its edges by a broadcast of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,39 +24,44 @@ from .skew import heavy_join
 
 
 #: Edges in a file of a round, about: the edges don't grow, so few need few files and few tasks to read them.
-ROWS = 200_000
+ROWS = 50_000
 
 
-#: Nodes that a task joins at a time before the first round.
-HELD = 500_000
+#: Nodes that a task joins at a time before the first round, and edges left after that which one task finishes.
+HELD, FINISH = 500_000, 1_000_000
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) as edges from each node to the least one that a task's edges join it with; b <= a."""
-    root: dict = {}
-    kind = None
+def _stars(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes of edges (a, b) edges from each node to the least one that a task's edges join it with, ``held`` nodes at a time; of a node that meets no other, a loop."""
 
-    def find(x):
-        while (up := root[x]) != x:
-            root[x] = x = root[up]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+        kind = None
 
-    def out() -> pa.RecordBatch:
-        nodes = list(root)
-        columns = [nodes, [find(x) for x in nodes]]
-        root.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names=["a", "b"])
+        def find(x):
+            while (up := root[x]) != x:
+                root[x] = x = root[up]
+            return x
 
-    for batch in batches:
-        kind = batch.column(0).type
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        if len(root) >= HELD:
+        def out() -> pa.RecordBatch:
+            ends = [find(x) for x in root]
+            centres = {y for x, y in zip(root, ends) if x != y}
+            rows = [(x, y) for x, y in zip(root, ends) if x != y or x not in centres]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            if len(root) >= held:
+                yield out()
+        if root:
             yield out()
-    if root:
-        yield out()
+
+    return run
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -76,8 +82,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    e, path = kept(pairs.mapInArrow(_stars, pairs.schema).distinct())
+    e, path = kept(pairs.mapInArrow(_stars(HELD), pairs.schema).distinct())
     before = _mark(e)
+    if before[0] <= FINISH:
+        e, last = kept(e.coalesce(1).mapInArrow(_stars(2 * FINISH + 1), e.schema))
+        drop(spark, path)
+        before = (0,)
     for _ in range(max_rounds if before[0] else 0):
         both = e.where("a <> b").unionAll(e.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()

@@ -39,9 +39,10 @@ def edges_of(seed, n=120, nodes=100):
     return [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(n)] + [(None, 1), (2, None), (500, 500)]
 
 
-@pytest.mark.parametrize("held", (3, 10_000))
-def test_components(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, finish", ((3, 0), (10_000, 0), (10_000, 10_000)))
+def test_components(spark, monkeypatch, held, finish):
     monkeypatch.setattr(C, "HELD", held)
+    monkeypatch.setattr(C, "FINISH", finish)
     path = [(i, i + 1) for i in range(1000, 1200)]
     assert found(connected_components(frame(spark, edges_of(1) + path))) == least(edges_of(1) + path)
     names = [(f"n{a}", f"n{b}") for a, b in path]
