@@ -4,9 +4,12 @@ A batch's distinct pieces are laid out in one symbol array.  An inverted index
 from the rank of an adjacent pair to its positions is replayed in rank order: the
 lowest rank is taken, all its positions merge at once (one, the leftmost, in each
 piece: a merge there may bring forth a pair of lower rank), and only the pairs
-with touched neighbours enter the index anew.
+with touched neighbours enter the index anew.  A piece of more than ``LONG`` bytes, such
+as a run of one character, merges on its own, by a heap of ranks and a linked list: one
+position at a time there would mean as many rounds over the index as the piece has merges.
 
-Defined cases: null or empty text has no tokens; lone surrogates don't occur in
+Defined cases: a long piece takes time in proportion to its length and about 200 times
+its bytes of memory while it is merged; null or empty text has no tokens; lone surrogates don't occur in
 Spark strings; ids are those of the rank file, special strings are plain text.
 """
 
@@ -36,6 +39,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries that a worker keeps between the batches of a task, about.
 CACHE = 250_000
+#: Bytes of the longest piece that is replayed with others.
+LONG = 256
 
 
 class ByteBpe:
@@ -56,7 +61,7 @@ class ByteBpe:
                     pairs[a << 32 | b] = rank
         keys = np.array(sorted(pairs), np.int64)
         self.keys, self.merged = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
-        self.ranks = ranks
+        self.ranks, self.pairs = ranks, pairs
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -120,6 +125,29 @@ class ByteBpe:
         counts = np.bincount(piece[alive], minlength=len(pieces))
         return np.split(kept, np.cumsum(counts)[:-1]) if len(pieces) else []
 
+    def linked(self, raw: bytes) -> np.ndarray:
+        """Token ids of one long piece: the lowest rank first, of equal ones the leftmost."""
+        n, pairs = len(raw), self.pairs
+        symbols = self.single[np.frombuffer(raw, np.uint8)].tolist()
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [r << 32 | i for i in range(n - 1) if (r := pairs.get(symbols[i] << 32 | symbols[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i]
+            if symbols[i] < 0 or j < 0 or pairs.get(symbols[i] << 32 | symbols[j]) != r:
+                continue  # one of the two has merged meanwhile
+            symbols[i], symbols[j] = r, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := pairs.get(symbols[i] << 32 | symbols[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := pairs.get(symbols[h] << 32 | symbols[i])) is not None:
+                heapq.heappush(heap, r << 32 | h)
+        return np.array([x for x in symbols if x >= 0], "<u4")
+
     def forget(self) -> None:
         """Drops what is kept between batches: a worker lives on after its task, beside those of other stages."""
         self.words.clear()
@@ -141,7 +169,10 @@ class ByteBpe:
         for x, r in zip(fresh, known):
             if r is not None:  # a whole token
                 self.pieces[x] = r.to_bytes(4, "little")
-        todo = [(x, y) for x, y, r in zip(fresh, raw, known) if r is None]
+        for x, y, r in zip(fresh, raw, known):
+            if r is None and len(y) > LONG:
+                self.pieces[x] = self.linked(y).tobytes()
+        todo = [(x, y) for x, y, r in zip(fresh, raw, known) if r is None and len(y) <= LONG]
         for (x, _), ids in zip(todo, self.replay([y for _, y in todo])):
             self.pieces[x] = ids.tobytes()
         for w, p in split.items():

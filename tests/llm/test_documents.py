@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -200,6 +201,22 @@ def test_byte_bpe_is_the_librarys():
     assert [own.decode(c) for c in coded] == [t.encode() for t in texts]
 
 
+def test_byte_bpe_of_long_runs():
+    """Texts of one character, of two in turn and of random letters: as the library has them, in seconds for a megabyte."""
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own, lib = byte_bpe.ByteBpe(path, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = ["a" * 1_000_000, "ab" * 20_000, "=" * 30_001, "é" * 5_000, "".join(rng.choice("abcdest") for _ in range(30_000)), " " * 3_000, "the" * 200]
+    began = time.monotonic()
+    coded = own.encode(texts)
+    assert time.monotonic() - began < 60
+    assert coded == [np.array(lib.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert [own.decode(c) for c in coded] == [t.encode() for t in texts]
+
+
 def test_byte_bpe_digests(odd, odd_rows, empty, listed):
     path = P.path("byte_bpe_50k.tiktoken")
     got = listed(byte_bpe.digests(odd, path, P.PATTERN), "doc_id", "decoded_sha256")
