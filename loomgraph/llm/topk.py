@@ -12,7 +12,7 @@ candidates in a task of its own.
 3. The others' totals are resolved exactly; those that reach the cutoff are ranked.
 
 Defined cases: null vectors and ones with null or non-finite components take no
-part; shorter vectors count as ending in zeros; ties go to the smaller id; with
+part, nor do those with a component that is no finite double once it is scaled; shorter vectors count as ending in zeros; ties go to the smaller id; with
 fewer candidates than k, all are returned; rows without id take no part; rows that
 share an id are candidates of their own, but never of that id's queries; scores
 beyond 64 bits count as the largest or smallest number of 64 bits.
@@ -59,7 +59,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
 
     def usable(df: DataFrame) -> DataFrame:
         x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        return x.where("id is not null and v is not null and not exists(v, e -> e is null or isnan(e) or abs(e) = double('infinity'))")
+        return x.where(f"id is not null and v is not null and not exists(v, e -> e is null or isnan(e) or abs(e * double('{scale}')) = double('infinity') or abs(e) = double('infinity'))")
 
     q, c = usable(queries).dropDuplicates(), usable(candidates)
     n_q, n_c = max(1, -(-q.count() // QUERIES)), max(1, -(-c.count() // BLOCK))

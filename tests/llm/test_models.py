@@ -155,6 +155,16 @@ def test_top_k(spark, monkeypatch, n, k):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_components_that_scale_beyond_doubles(spark):
+    """Finite components whose scaled value is infinite: their vectors take no part; what is just below does."""
+    rows = [(i, [1e307 * i, 2.0]) for i in range(1, 18)] + [(40, [1e306, 1.0]), (60, [-1e306, 1.0]), (80, [0.0, 1.0]), (100, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df.where("vec_id >= 40"), df, k=20).collect()
+    some = {r.vec_id for r in got}
+    assert some == {40, 60, 80} and {r.query_id for r in got} == {40, 60, 80}
+    assert {(r.query_id, r.vec_id): r.score for r in got}[80, 40] == 64 * 64
+
+
 @pytest.mark.parametrize("size", [1 << 21, 1 << 23, 1 << 40])
 def test_top_k_beyond_floating_point(spark, size):
     """Scores over 2**53, which floats would round together, and over 2**63, which are cut off."""
