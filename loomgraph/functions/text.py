@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.functions.plurals import singular
+
 _CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
@@ -15,9 +17,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: By rule: characters whose full case folding isn't what lower case makes of them, with what they fold to. A sigma at a word's end is one.
+FOLDED = {c: f for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if (f := c.casefold()) != c and c.lower() == c}
+
+
 def casefold(x) -> Column:
-    """Lower case with the sharp s unfolded."""
-    return F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
+    """Unicode's full case folding: lower case, and character by character only where one is met that folds further."""
+    low = F.lower(_c(x))
+    by_character = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in FOLDED.items() for v in kv]), c), c)), "")
+    return F.when(low.rlike("[" + "".join(FOLDED) + "]"), by_character).otherwise(low)
 
 
 def normalize_label(x) -> Column:
@@ -37,7 +45,7 @@ def label_fallback(x) -> Column:
 
 
 def nfkc(x, ascii_only: bool = False) -> Column:
-    """Unicode's NFKC form; declare the column ASCII to stay in the JVM."""
+    """Unicode's NFKC form; ASCII has it already, so only other values go to Python. Declare the column ASCII to stay in the JVM."""
     if ascii_only:
         return _c(x)
 
@@ -45,30 +53,13 @@ def nfkc(x, ascii_only: bool = False) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
-    return run(_c(x))
-
-
-#: Irregular plurals that the singular rule knows.
-IRREGULAR = {
-    "men": "man", "women": "woman", "children": "child", "people": "person", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse",
-    "wolves": "wolf", "knives": "knife", "leaves": "leaf", "halves": "half", "shelves": "shelf", "thieves": "thief", "wives": "wife", "shoes": "shoe", "toes": "toe", "movies": "movie", "series": "series", "species": "species", "news": "news",
-}
+    return F.coalesce(run(F.when(F.length(_c(x)) != F.octet_length(_c(x)), _c(x))), _c(x))
 
 
 def singularize_token(t: Column) -> Column:
     """The singular of one token; tokens with digits, acronyms and hyphenated words stay."""
-    low = F.lower(t)
-    known = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
-    rule = (
-        F.when(low.rlike(r"(ss|us|is|'s)$") | ~low.rlike(r"..s$"), t)
-        .when(low.rlike(r"[^aeiou]ies$") & (F.length(t) > 4), F.regexp_replace(t, r"(?i)ies$", "y"))
-        .when(low.rlike(r"(tches|rches|shes|xes|sses|zzes|[^aeiou]oes)$"), F.regexp_replace(t, r"(?i)es$", ""))
-        .otherwise(F.regexp_replace(t, r"(?i)s$", ""))
-    )
-    irregular = F.element_at(known, low)
-    cased = F.when(F.substring(t, 1, 1) == F.upper(F.substring(t, 1, 1)), F.initcap(irregular)).otherwise(irregular)
     keep = t.rlike("[0-9]") | (t.rlike("^[A-Z0-9.&-]+$") & (F.length(t) > 1)) | t.contains("-")
-    return F.when(keep, t).otherwise(F.coalesce(cased, rule))
+    return F.when(keep, t).otherwise(F.coalesce(singular(t), t))
 
 
 def singularize(x) -> Column:

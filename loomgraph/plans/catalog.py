@@ -404,3 +404,33 @@ def growing_components(spark, d):
 def growing_component_order(spark, d):
     """The same components by size, then by the least of their members' names."""
     return view_model.component_order(_forest(spark, d, 2).select("component", F.col("node").cast("string").alias("node")))
+
+
+_WORDS_SQL = "SELECT DISTINCT unnest(string_split(lower(concat_ws(' ', p_name, p_type)), ' ')) AS w FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT lower(split_part(c_name, '#', 1)) FROM customer"
+_PLURAL_SQL = r"CASE WHEN {0} LIKE '%s' OR {0} LIKE '%x' OR {0} LIKE '%ch' OR {0} LIKE '%sh' THEN concat({0}, 'es') WHEN {1}({0}, '[^aeiou]y$') THEN concat(left({0}, length({0}) - 1), 'ies') ELSE concat({0}, 's') END"
+
+
+@query(f"SELECT {_PLURAL_SQL.format('w', 'regexp_matches')} AS form, w AS key FROM ({_WORDS_SQL}) WHERE length(w) > 2 AND w <> 'new' AND NOT regexp_matches(w, '[0-9 ]|(ss|us|is|s)$')")
+def singular_forms(spark, d):
+    """Plurals made of the words of names by the school's rule; their singulars are the words again."""
+    w = star.table(spark, d, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w"))
+    w = w.union(star.table(spark, d, "nation").select(F.lower("n_name"))).union(star.table(spark, d, "customer").select(F.lower(F.substring_index("c_name", "#", 1)))).distinct()
+    w = w.where(r"length(w) > 2 and w <> 'new' and not w rlike '[0-9 ]|(ss|us|is|s)$'")  # news is no plural
+    return w.select(F.expr(_PLURAL_SQL.format("w", "regexp_like")).alias("form")).select("form", T.dedup_form("form").alias("key"))
+
+
+@query(
+    """SELECT c_name AS doc_id, k AS ord, 'located in' AS predicate, n_name AS object FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (1), (3)) t(k)
+    WHERE (k = 1 AND c_custkey % 2 = 0) OR (k = 3 AND c_acctbal > 0)"""
+)
+def mixed_replies(spark, d):
+    """Replies in whose lists good items stand beside text, numbers, lists, null, and relations with an empty or a nested part."""
+    c = star.table(spark, d, "customer").join(star.table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
+    rel = lambda s, p, o: F.to_json(F.struct(s.alias("subject"), p.alias("predicate"), o.alias("object")))
+    good = rel(F.col("c_name"), F.lit("located in"), F.col("n_name"))
+    first = F.when(F.col("c_custkey") % 2 == 0, good).otherwise(rel(F.col("c_name"), F.lit(""), F.col("n_name")))
+    third = F.when(F.col("c_acctbal") > 0, good).otherwise(F.to_json(F.struct(F.struct("c_name").alias("subject"), F.lit("located in").alias("predicate"), F.col("n_name").alias("object"))))
+    items = F.concat(F.lit("["), F.array_join(F.array(F.lit('"junk"'), first, F.lit("[5, {}]"), third, F.lit("null"), F.col("c_custkey").cast("string")), ", "), F.lit("]"))
+    reply = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"note": 1, "relations": '), items, F.lit("}"))).otherwise(items)
+    ends = c.selectExpr("c_name as doc_id", "c_name as surface_form").union(c.selectExpr("c_name", "n_name"))
+    return corpus.parse_relations(c.select(F.col("c_name").alias("doc_id"), reply.alias("reply")), ends).select("doc_id", "ord", "predicate", "object")

@@ -43,10 +43,17 @@ def read_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parse_relations(replies: DataFrame, entities: DataFrame, column: str = "reply") -> DataFrame:
-    """(doc_id, ord, subject, predicate, object) of extractor replies: a list or {"relations": list}; items that lack a part, or whose ends aren't entities of the document, are dropped; bad JSON gives none."""
-    item = "array<struct<subject:string,predicate:string,object:string>>"
-    given = F.coalesce(F.from_json(column, f"relations {item}").getField("relations"), F.from_json(column, item))
-    rows = replies.select("doc_id", F.posexplode(given).alias("ord", "r")).select("doc_id", F.col("ord").cast("long"), "r.subject", "r.predicate", "r.object").where("subject is not null and predicate is not null and object is not null")
+    """(doc_id, ord, subject, predicate, object) of extractor replies: a list or {"relations": list}; bad JSON, or anything else, gives none.
+
+    Every item is taken on its own, whatever its neighbours are: one that is no object, or
+    in which a part is missing, empty or no text, is skipped, and so is one whose ends
+    aren't entities of the document. ord is the item's place in its list.
+    """
+    parsed = replies.select("doc_id", F.try_parse_json(column).alias("__v"))
+    items = F.coalesce(F.try_variant_get("__v", "$.relations", "array<variant>"), F.try_variant_get("__v", "$", "array<variant>"))
+    part = lambda name: F.when(F.schema_of_variant(F.try_variant_get("__item", f"$.{name}", "variant")) == "STRING", F.nullif(F.try_variant_get("__item", f"$.{name}", "string"), F.lit(""))).alias(name)
+    rows = parsed.select("doc_id", F.posexplode(items).alias("ord", "__item")).select("doc_id", F.col("ord").cast("long"), part("subject"), part("predicate"), part("object"))
+    rows = rows.where("subject is not null and predicate is not null and object is not null")
     known = entities.select("doc_id", F.col("surface_form").alias("__sf")).distinct()
     for end in ("subject", "object"):
         rows = rows.join(known.withColumnRenamed("__sf", end), ["doc_id", end], "left_semi")
