@@ -15,7 +15,7 @@ from loomgraph.sources import corpus
 from loomgraph.sources import ontology as O
 from loomgraph.session import scratch
 from loomgraph.sources.validate import validate_graph
-from loomgraph.streaming import jobs
+from loomgraph.streaming import jobs, keyed
 
 _NS = star.NS
 
@@ -434,3 +434,22 @@ def mixed_replies(spark, d):
     reply = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"note": 1, "relations": '), items, F.lit("}"))).otherwise(items)
     ends = c.selectExpr("c_name as doc_id", "c_name as surface_form").union(c.selectExpr("c_name", "n_name"))
     return corpus.parse_relations(c.select(F.col("c_name").alias("doc_id"), reply.alias("reply")), ends).select("doc_id", "ord", "predicate", "object")
+
+
+#: Kinds of events by turns, for jobs named after users.
+_KIND_SQL = "CASE event_id % 6 WHEN 0 THEN 'submitted' WHEN 1 THEN 'claimed' WHEN 2 THEN 'failed' WHEN 3 THEN 'claimed' WHEN 4 THEN 'beat' ELSE 'done' END"
+
+
+@query(
+    f"""WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS job_id, {_KIND_SQL} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    f(job_id, rn, status, attempts, changed) AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT), 'none', 0, false FROM ev UNION ALL
+        SELECT f.job_id, ev.rn, CASE WHEN status = 'none' AND kind = 'submitted' THEN 'pending' WHEN status = 'pending' AND kind = 'claimed' THEN 'running' WHEN status = 'running' AND kind = 'done' THEN 'completed'
+            WHEN status = 'running' AND kind = 'failed' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END,
+        CASE WHEN status = 'pending' AND kind = 'claimed' THEN attempts + 1 ELSE attempts END,
+        (status = 'none' AND kind = 'submitted') OR (status = 'pending' AND kind = 'claimed') OR (status = 'running' AND kind IN ('done', 'failed')) FROM f JOIN ev ON ev.job_id = f.job_id AND ev.rn = f.rn + 1)
+    SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY rn) AS INTEGER) AS n, status, attempts FROM f WHERE changed"""
+)
+def job_lifecycle(spark, d):
+    """The changes that events make of jobs' states, none of them by time."""
+    e = star.table(spark, d, "events").selectExpr("cast(user_id as string) as job_id", f"{_KIND_SQL} as kind", "cast(event_id as double) as at")
+    return keyed.replay(e, idle=1e18, ttl=1e18)
