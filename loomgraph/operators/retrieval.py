@@ -39,6 +39,18 @@ def context(relations: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame
     return r.join(s, "subject_sf", "left_semi").unionByName(r.join(o, "object_sf", "left_semi")).select(sentence().alias("sentence")).distinct()
 
 
+def contexts(relations: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """(query, sentence) of ``context`` for every query of (query, node): all their frontiers grow together."""
+    r = relations.select("subject_sf", "predicate_sf", "object_sf").distinct()
+    near = seeds.select("query", "node").distinct()
+    for _ in range(depth - 1):
+        ahead = r.join(near, r["subject_sf"] == near["node"]).select("query", F.col("object_sf").alias("node"))
+        back = r.join(near, r["object_sf"] == near["node"]).select("query", F.col("subject_sf").alias("node"))
+        near = stored(near.union(ahead).union(back).distinct())
+    touch = r.join(near, r["subject_sf"] == near["node"]).unionByName(r.join(near, r["object_sf"] == near["node"]))
+    return touch.select("query", sentence().alias("sentence")).distinct()
+
+
 def retrieve(nodes: DataFrame, relations: DataFrame, query: list[float], k: int = 8, depth: int = 2) -> str:
     """The sentences around the nodes nearest to a query, in order, as one text."""
     seeds = nearest(nodes, query, "node", "embedding", k)

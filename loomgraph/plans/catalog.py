@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions import xsd
-from loomgraph.operators import aggregate, dedup, judged, narrowing, provenance, serialize, similarity, stats, view_model, views
+from loomgraph.operators import aggregate, dedup, judged, narrowing, provenance, retrieval, serialize, similarity, stats, view_model, views
 from loomgraph.operators.components import Forest
 from loomgraph.plans import star
 from loomgraph.plans.queries import _CAMEL_SQL, _PAIRS_SQL, _FORMS_SQL, _KNOWN_SQL, _NARROW_SQL, _STATUS_SQL, _WHOLE_GRAPH, _conformance_rows, _forms, _joined, query
@@ -453,3 +453,25 @@ def job_lifecycle(spark, d):
     """The changes that events make of jobs' states, none of them by time."""
     e = star.table(spark, d, "events").selectExpr("cast(user_id as string) as job_id", f"{_KIND_SQL} as kind", "cast(event_id as double) as at")
     return keyed.replay(e, idle=1e18, ttl=1e18)
+
+
+@query(
+    """SELECT query, vec_id, round(s, 6) AS similarity, rank FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0) WHERE rank <= 8"""
+)
+def nearest_vectors(spark, d):
+    """The eight nearest of every twentieth vector, itself included."""
+    v = star.table(spark, d, "embeddings")
+    n = similarity.nearest_of(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", "vec_id", "embedding", 8, digits=9)
+    return n.select("query", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(
+    f"""WITH tr AS (SELECT DISTINCT s, p, o FROM ({star.sql_triples()})), seed AS (SELECT n_name AS query, n_name AS node FROM nation),
+    near AS (SELECT query, node FROM seed UNION SELECT query, o FROM tr JOIN seed ON s = node UNION SELECT query, s FROM tr JOIN seed ON o = node)
+    SELECT DISTINCT query, concat(s, ' ', p, ' ', o, '.') AS sentence FROM tr JOIN near ON s = node OR o = node"""
+)
+def khop_contexts(spark, d):
+    """What is within two steps of each nation, for all nations at once."""
+    seeds = star.table(spark, d, "nation").select(F.col("n_name").alias("query"), F.col("n_name").alias("node"))
+    return retrieval.contexts(star.triples(spark, d), seeds, depth=2)

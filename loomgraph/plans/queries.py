@@ -13,6 +13,7 @@ from loomgraph.functions.vectors import cosine
 from loomgraph.operators import aggregate, chunk, conformance, dedup, narrowing, retrieval, serialize, similarity, stats, view_model, views
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import star
+from loomgraph.session import stored
 from loomgraph.sources import ontology as O
 from loomgraph.streaming import jobs
 
@@ -378,12 +379,14 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).withColumn("rank", rank).where("rank <= 5").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
 
 
-def _cosines(spark, d) -> DataFrame:
-    """(query_id, id, cosine) of every item that has a vector with every vector."""
-    v = star.table(spark, d, "embeddings")
-    items = star.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
-    x = items.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
-    return x.crossJoin(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).select("query_id", "id", cosine(F.col("qv"), F.col("v")).alias("cosine"))
+def _cosines(spark, d, lexical: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, cosine) of every item that has a vector: with its k nearest vectors, and with what it shares a word with. No other can be among its k best by both."""
+    v = star.table(spark, d, "embeddings").select("vec_id", "embedding")
+    items = star.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).distinct().join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+    near = similarity.nearest_of(items, v, "query_id", "qv", "vec_id", "embedding", k, digits=6)
+    of_words = lexical.select("query_id", "id").join(items, "query_id").join(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id")
+    of_words = of_words.select("query_id", "id", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("cosine"))
+    return near.select(F.col("query").alias("query_id"), F.col("key").alias("id"), F.col("similarity").alias("cosine")).unionByName(of_words).dropDuplicates(["query_id", "id"])
 
 
 @query(
@@ -393,7 +396,8 @@ def _cosines(spark, d) -> DataFrame:
 )
 def rank_fusion(spark, d):
     """Candidates of either side: of the words alone, or of the vectors alone."""
-    out = retrieval.fuse(_bm25(spark, d).withColumn("bm25", F.round("bm25", 4)), _cosines(spark, d).withColumn("cosine", F.round("cosine", 6)), 16, 0.5)
+    lexical = stored(_bm25(spark, d).withColumn("bm25", F.round("bm25", 4)))
+    out = retrieval.fuse(lexical, _cosines(spark, d, lexical, 16), 16, 0.5)
     return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
 
 
