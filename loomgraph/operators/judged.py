@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.aggregate import placed
+from loomgraph.operators.similarity import portions
 from loomgraph.session import drop, kept, stored
 
 #: Takes an item and its nearest others; returns the name that stands for all of them, and its duplicates.
@@ -44,12 +45,11 @@ def assign(vectors: DataFrame, centres: np.ndarray, room: int) -> DataFrame:
         some = np.flatnonzero(left > 0)
 
         def ask(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    m, c = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), centres[some]
-                    d = np.sqrt(np.maximum(0.0, (m**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * m @ c.T))
-                    best = d.argmin(axis=1)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(some[best].astype(np.int32)), pa.array(d[np.arange(len(d)), best])], names=["k", "v", "cell", "far"])
+            for batch in portions(batches, len(some)):
+                m, c = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), centres[some]
+                d = np.sqrt(np.maximum(0.0, (m**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * m @ c.T))
+                best = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(some[best].astype(np.int32)), pa.array(d[np.arange(len(d)), best])], names=["k", "v", "cell", "far"])
 
         asked = _ranked(stored(waiting.mapInArrow(ask, f"k {kind}, v array<double>, cell int, far double")))
         fits = F.element_at(F.array(*[F.lit(int(n)) for n in left]), F.col("cell") + 1)

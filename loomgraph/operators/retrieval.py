@@ -27,6 +27,11 @@ def embed(nodes: DataFrame, encoder: Callable[[list[str]], list[list[float]]], c
     return nodes.withColumn("embedding", run(col))
 
 
+def embed_relations(relations: DataFrame, encoder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """(predicate_sf, embedding) of the distinct predicates, for relations to be found by meaning as nodes are."""
+    return embed(relations.select("predicate_sf").distinct(), encoder, "predicate_sf")
+
+
 def context(relations: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(sentence) of relations that touch a node fewer than ``depth`` steps from a seed (column node), either way."""
     r = relations.select("subject_sf", "predicate_sf", "object_sf").distinct()

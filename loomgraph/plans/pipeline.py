@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import aggregate, conformance, dedup, narrowing, serialize, stats, views
 from loomgraph.session import stored
-from loomgraph.sources.ontology import Ontology, compatible_pairs, with_class_uris
+from loomgraph.sources.ontology import Ontology, compatible_pairs, resolve_class, with_class_uris
 
 #: An extractor takes a document's text and returns entities (surface form, type or None) and relations (subject, predicate, object).
 Extractor = Callable[[str], tuple[list[tuple[str, str | None]], list[tuple[str, str, str]]]]
@@ -83,6 +83,58 @@ def conforming(mentions: DataFrame, triples: DataFrame, onto: Ontology, **flags)
     return triples.join(failed, ["doc_id", "ord"], "left_anti")
 
 
+#: Takes a text, the terms to type (None: find them), the types that may be given, and what was wrong the time before (None at first); returns entities (surface form, type or None).
+Typer = Callable[[str, list[str] | None, list[str], str | None], list[tuple[str, str | None]]]
+
+
+def type_terms(corpus: DataFrame, typer: Typer, onto: Ontology, attempts: int = 2) -> DataFrame:
+    """(doc_id, entities, error, score) of every document (id, text and, where they are known, terms), by a typer that is told the ontology's types.
+
+    score: the share of entities whose type is a class of the ontology, by label or another
+    name; entities without a type, and documents without entities, are right. Documents
+    below 1, or that failed, are asked again, with what was wrong as feedback; the best
+    answer stays, of equal ones the first. Only a document that never answered has an error.
+    """
+    types = [r.label for r in narrowing.target_types(onto).select("label").orderBy("label").collect()]  # of an ontology
+    terms = F.col("terms") if "terms" in corpus.columns else F.lit(None)
+    none = F.lit(None).cast("string")
+    rows = corpus.select(F.col("id").cast("string").alias("doc_id"), "text", terms.cast("array<string>").alias("terms"), none.alias("feedback"), F.lit(None).cast(_ENTITY).alias("entities"), F.lit(-1.0).alias("score"), none.alias("error"))
+    schema = f"doc_id string, text string, terms array<string>, feedback string, entities {_ENTITY}, score double, error string, answer {_ENTITY}"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found, errors = [], []
+            for text, terms, feedback in zip(pdf["text"], pdf["terms"], pdf["feedback"]):
+                answer, error = None, None
+                try:
+                    answer = [dict(zip(("surface_form", "type_label"), e)) for e in typer(text or "", None if terms is None else list(terms), types, feedback)]
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                found.append(answer)
+                errors.append(error)
+            yield pdf.assign(error=pd.Series(errors, pdf.index, object), answer=pd.Series(found, pdf.index, object))
+
+    done = None
+    for attempt in range(attempts):
+        out = stored(rows.mapInPandas(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+        kinds = out.select(F.explode("answer").alias("e")).select("e.type_label", none.alias("type_uri")).where("type_label is not null").distinct()
+        bad = resolve_class(onto, kinds, "type_uri", "type_label").where("class_uri is null").select(F.col("type_label").alias("__t"))
+        each = out.select("__row", F.explode("answer").alias("e")).select("__row", "e.type_label")
+        judged = each.join(bad, F.col("type_label") == F.col("__t"), "left").groupBy("__row").agg(F.avg(F.when(F.col("__t").isNull(), 1.0).otherwise(0.0)).alias("__s"), F.array_sort(F.collect_set("__t")).alias("__bad"))
+        now = F.when(F.col("answer").isNull(), -1.0).otherwise(F.coalesce("__s", F.lit(1.0)))
+        out = out.join(judged, "__row", "left").withColumn("__now", now)
+        wrong = F.concat(F.lit("no such type: "), F.array_join("__bad", ", "))
+        better = F.col("__now") > F.col("score")
+        out = stored(out.select("doc_id", "text", "terms", F.when(F.col("answer").isNull(), F.col("error")).otherwise(wrong).alias("feedback"), F.when(better, F.col("answer")).otherwise(F.col("entities")).alias("entities"), F.greatest("score", "__now").alias("score"), "error"))
+        good = F.col("score") == 1
+        taken = out if attempt == attempts - 1 else out.where(good)
+        answered = F.col("entities").isNotNull()
+        taken = taken.select("doc_id", F.coalesce("entities", F.array().cast(_ENTITY)).alias("entities"), F.when(~answered, F.col("error")).alias("error"), F.when(answered, F.col("score")).alias("score"))
+        done = taken if done is None else done.unionByName(taken)
+        rows = out.where(~good)
+    return done
+
+
 #: Takes a text, its entities (surface form, type or None), the predicates that fit them, and what was wrong the time before (None at first); returns relations.
 Relater = Callable[[str, list[tuple[str, str | None]], list[str], str | None], list[tuple[str, str, str]]]
 

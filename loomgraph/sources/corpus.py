@@ -12,6 +12,14 @@ class BadCorpus(ValueError):
     """Lines that are no documents; the request fails as a whole."""
 
 
+class TooLarge(ValueError):
+    """A payload above the limit."""
+
+
+class Empty(ValueError):
+    """A corpus without documents, or a document without text."""
+
+
 def _lifted(terms: Column) -> Column:
     """Terms as structs; a bare string becomes a struct with that surface form."""
     return F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.when(t.startswith("{"), F.from_json(t, schemas.TERM)).otherwise(F.struct(t.alias("surface_form"), *(F.lit(None).cast(k).alias(n) for n, k in (("uri", "string"), ("description", "string"), ("type", schemas.TYPE), ("provenance_ids", "array<string>"))))))
@@ -116,3 +124,14 @@ def normalize_graph(rows: DataFrame, column: str = "value") -> tuple[DataFrame,
 def within(corpus: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """Payloads that aren't empty and not larger than the limit."""
     return corpus.where((F.octet_length("text") > 0) & (F.octet_length("text") <= most_bytes))
+
+
+def checked(corpus: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """The corpus itself, if it has documents, each has text, and together they aren't larger than the limit; else Empty or TooLarge, with the numbers."""
+    size = F.octet_length("text")
+    n = corpus.agg(F.count("*").alias("n"), F.count_if(F.coalesce(size, F.lit(0)) == 0).alias("empty"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    if not n.n or n.empty:
+        raise Empty("no documents" if not n.n else f"{n.empty} of {n.n} documents have no text")
+    if n["size"] > most_bytes:
+        raise TooLarge(f"{n['size']} bytes are more than {most_bytes}")
+    return corpus
