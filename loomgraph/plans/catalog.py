@@ -11,7 +11,7 @@ from loomgraph.operators import aggregate, dedup, judged, narrowing, provenance,
 from loomgraph.operators.components import Forest
 from loomgraph.plans import star
 from loomgraph.plans.queries import _CAMEL_SQL, _PAIRS_SQL, _FORMS_SQL, _KNOWN_SQL, _NARROW_SQL, _STATUS_SQL, _WHOLE_GRAPH, _conformance_rows, _forms, _joined, query
-from loomgraph.sources import corpus
+from loomgraph.sources import corpus, ntriples
 from loomgraph.sources import ontology as O
 from loomgraph.session import scratch
 from loomgraph.sources.validate import validate_graph
@@ -491,3 +491,17 @@ def typed_terms(spark, d):
 
     out = pipeline.type_terms(docs, typer, star.onto(spark))
     return out.where("score = 1").select("doc_id", F.inline("entities"))
+
+
+@query(
+    """SELECT concat('u:c', c_custkey) AS s, 'u:label' AS p, concat('a "', c_name, '"', chr(10), 'b') AS o, 'literal' AS o_kind, CASE WHEN c_custkey % 2 = 0 THEN 'en' END AS lang FROM customer
+    UNION ALL SELECT concat('u:c', c_custkey), 'u:in', concat('u:n', c_nationkey), 'iri', NULL FROM customer UNION ALL SELECT concat('u:n', n_nationkey), 'u:size', CAST(n_nationkey AS VARCHAR), 'literal', NULL FROM nation"""
+)
+def ntriples_lines(spark, d):
+    """N-Triples made of customers and nations, with escapes, languages, datatypes, comments and repeats, read again."""
+    c, n = star.table(spark, d, "customer"), star.table(spark, d, "nation")
+    label = F.concat(F.lit("<u:c"), "c_custkey", F.lit('> <u:label> "a \\"'), "c_name", F.lit('\\"\\nb"'), F.when(F.col("c_custkey") % 2 == 0, "@en").otherwise(""), F.lit(" ."))
+    place = F.concat(F.lit("  <u:c"), "c_custkey", F.lit("> <u:in>\t<u:n"), "c_nationkey", F.lit("> . # where"))
+    size = F.concat(F.lit("<u:n"), "n_nationkey", F.lit('> <u:size> "'), "n_nationkey", F.lit(f'"^^<{xsd.NAMESPACE}integer>.'))
+    lines = c.select(F.explode(F.array(label, place, place, F.lit("# nothing"), F.lit(""))).alias("value")).union(n.select(size))
+    return ntriples.triples(lines)

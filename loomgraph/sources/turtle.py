@@ -1,7 +1,7 @@
 """A reader of the Turtle that ontologies are written in, and a writer.
 
 Prefixes, base, lists by ; and , , long strings, language tags, datatypes, comments,
-numbers, booleans and blank nodes are understood; collections are not.
+numbers, booleans, blank nodes and collections are understood.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 _TOKEN = re.compile(
     r'''(?P<skip>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\')'''
     r'''|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<dt>\^\^)|(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)'''
-    r'''|(?P<blank>_:[\w.-]*\w)|(?P<name>(?:[A-Za-z_\u0080-\uFFFF][\w.-]*)?:(?:[\w%][\w.%:-]*[\w%-]|[\w%])?|[A-Za-z]+)|(?P<mark>[.;,\[\]])''',
+    r'''|(?P<blank>_:[\w.-]*\w)|(?P<name>(?:[A-Za-z_\u0080-\uFFFF][\w.-]*)?:(?:[\w%][\w.%:-]*[\w%-]|[\w%])?|[A-Za-z]+)|(?P<mark>[.;,\[\]()])''',
     re.S,
 )
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
@@ -91,8 +91,24 @@ def parse(text: str) -> list[tuple[str, str, str, str, str | None]]:
             if take()[1] != "]":
                 raise TurtleError("a blank node isn't closed")
             return node, "blank", None
+        if x == "(":
+            return collection()
         raise TurtleError(f"unexpected {x!r}")
 
+    def collection():
+        """The first node of a list of terms, or nil."""
+        nonlocal blanks
+        items = []
+        while peek()[1] != ")" or peek()[0] != "mark":
+            items.append(term())
+        take()
+        nodes = [f"_:b{blanks + n}" for n in range(1, len(items) + 1)]
+        blanks += len(items)
+        for node, item, rest in zip(nodes, items, [*nodes[1:], None]):
+            out[node, RDF + "first", *item] = None
+            out[(node, RDF + "rest", *((rest, "blank") if rest else (RDF + "nil", "iri")), None)] = None
+        return (nodes[0], "blank", None) if nodes else (RDF + "nil", "iri", None)
+
     def properties(subject: str) -> None:
         while True:
             p, _, _ = term(verb=True)
