@@ -505,3 +505,18 @@ def ntriples_lines(spark, d):
     size = F.concat(F.lit("<u:n"), "n_nationkey", F.lit('> <u:size> "'), "n_nationkey", F.lit(f'"^^<{xsd.NAMESPACE}integer>.'))
     lines = c.select(F.explode(F.array(label, place, place, F.lit("# nothing"), F.lit(""))).alias("value")).union(n.select(size))
     return ntriples.triples(lines)
+
+
+@query(f"SELECT DISTINCT s AS subject, p AS predicate, o AS object FROM ({star.sql_triples()})")
+def graph_document(spark, d):
+    """The whole graph written as one JSON document in many files, and its relations read again with their ends' names."""
+    m = aggregate.numbered(star.mentions(spark, d).select("surface_form").distinct(), ["surface_form"], "entity_id").select("entity_id", "surface_form")
+    t = star.triples(spark, d).select("subject_sf", "predicate_sf", "object_sf").distinct()
+    ids = m.select(F.col("surface_form").alias("subject_sf"), F.col("entity_id").alias("subject_id"))
+    r = t.join(ids, "subject_sf").select("subject_id", F.col("predicate_sf").alias("predicate"), F.col("object_sf").alias("object"))
+    path = scratch(spark)
+    corpus.write_document(m, r, path, kind="star")
+    e, r = corpus.read_document(spark, path)
+    of = lambda c, n: F.get_json_object(c, f"$.{n}").alias(n)
+    e = e.select(F.col("entity_id").alias("subject_id"), F.get_json_object("entity", "$.surface_form").alias("subject"))
+    return r.select(of("relation", "subject_id"), of("relation", "predicate"), of("relation", "object")).join(e, "subject_id").select("subject", "predicate", "object")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,37 @@ def write_graph(entities: DataFrame, relations: DataFrame, path: str, compress:
     return {"num_entities": entities.count(), "num_relations": relations.count(), "output_file": path}
 
 
+def write_document(entities: DataFrame, relations: DataFrame, path: str, compress: bool = False, **attributes) -> dict:
+    """One JSON document {"entities": {id: entity}, "relations": [...], attributes} in many files, and its numbers.
+
+    The files' lines in the order of their names are the document: its head, an entity
+    or a relation a line, and its foot, sorted across partitions, so no row holds more
+    than one of them. entities: entity_id, which is unique, and more; relations by their columns' order.
+    """
+    name = F.to_json(F.array(F.col("entity_id").cast("string")))
+    key = F.substring(name, F.lit(2), F.length(name) - 2)
+    e = entities.select(F.lit(1).alias("part"), key.alias("key"), F.lit(1).alias("n"), F.concat(key, F.lit(": "), F.to_json(F.struct(*[c for c in entities.columns if c != "entity_id"]))).alias("line"))
+    each = relations.select(F.to_json(F.struct(*relations.columns)).alias("key")).groupBy("key").agg(F.count("*").cast("int").alias("n"))
+    r = each.select(F.lit(3).alias("part"), "key", F.explode(F.sequence(F.lit(1), "n")).alias("n"), F.col("key").alias("line"))
+    first = {part: df.agg(F.min("key")).first()[0] for part, df in ((1, e), (3, r))}
+    is_first = (F.col("n") == 1) & (F.col("key") == F.when(F.col("part") == 1, F.lit(first[1])).otherwise(F.lit(first[3])))
+    rows = e.unionByName(r).withColumn("line", F.concat(F.when(is_first, " ").otherwise(","), "line"))
+    more = "".join(f", {json.dumps(k)}: {json.dumps(v)}" for k, v in attributes.items())
+    frame = entities.sparkSession.createDataFrame([(0, "", 0, '{"entities": {'), (2, "", 0, '}, "relations": ['), (4, "", 0, f"]{more}}}")], "part int, key string, n int, line string")
+    ordered = rows.unionByName(frame).repartitionByRange("part", "key", "n").sortWithinPartitions("part", "key", "n")
+    ordered.select("line").write.mode("overwrite").text(path, compression="gzip" if compress else "none")
+    return {"num_entities": entities.count(), "num_relations": relations.count(), "output_file": path}
+
+
+def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, entity) and (relation), JSON text each, of a document written in parts; every line on its own."""
+    lines = spark.read.text(path).select(F.substring("value", 1, 1).alias("mark"), F.expr("substring(value, 2)").alias("item")).where("mark in (' ', ',')")
+    key = F.regexp_extract("item", r'^("(?:[^"\\]|\\.)*"): ', 1)
+    e = lines.where(F.col("item").startswith('"')).withColumn("key", key)
+    e = e.select(F.get_json_object(F.concat(F.lit('{"k": '), F.col("key"), F.lit("}")), "$.k").alias("entity_id"), F.expr("substring(item, length(key) + 3)").alias("entity"))
+    return e, lines.where(F.col("item").startswith("{")).select(F.col("item").alias("relation"))
+
+
 def _nodes(rows: DataFrame, column: str) -> DataFrame:
     """(entity_id, n, surface_form): a graph's nodes as JSON text, whether listed or keyed by id."""
     given = F.coalesce(F.get_json_object(column, "$.entities"), F.get_json_object(column, "$.nodes"))
