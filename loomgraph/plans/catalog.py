@@ -231,9 +231,11 @@ def suggest_predicates(spark, d):
     return narrowing.suggest_predicates(star.onto(spark), types).select("label")
 
 
-@query(f"WITH {_KNOWN_SQL} SELECT DISTINCT class AS label, concat('{_NS}', class) AS uri FROM known")
+@query(f"WITH {_KNOWN_SQL}, used AS (SELECT type_label AS class, count(*) AS n FROM ({star.sql_mentions()}) GROUP BY type_label) SELECT class AS label, concat('{_NS}', class) AS uri, coalesce(any_value(n), 0) AS n FROM known LEFT JOIN used USING (class) GROUP BY class")
 def target_types(spark, d):
-    return narrowing.target_types(star.onto(spark)).select("label", "uri")
+    """The types that may be given, and how many mentions of the graph have each."""
+    used = stats.class_usage(star.mentions(spark, d)).withColumnRenamed("class", "uri")
+    return narrowing.target_types(star.onto(spark)).select("label", "uri").join(used, "uri", "left").select("label", "uri", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(

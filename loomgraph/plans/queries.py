@@ -153,11 +153,16 @@ def predicate_narrowing_batch(spark, d):
     return of.join(answers, "answer").select(F.col("group").alias("grp"), F.array_join("predicates", ",").alias("predicates"), F.col("answer").cast("long").alias("answer"))
 
 
-@query("WITH RECURSIVE sub(c, a) AS (VALUES ('Region', 'Place'), ('Nation', 'Place'), ('Customer', 'Agent'), ('Supplier', 'Agent'), ('Part', 'Product')), up(c, a) AS (SELECT c, c FROM (SELECT c FROM sub UNION SELECT a FROM sub) UNION SELECT up.c, sub.a FROM up JOIN sub ON up.a = sub.c) SELECT c AS class, a AS ancestor FROM up UNION SELECT 'Brand', 'Brand' UNION SELECT 'Order', 'Order'")
+@query(
+    f"""WITH RECURSIVE sub(c, a) AS (VALUES ('Region', 'Place'), ('Nation', 'Place'), ('Customer', 'Agent'), ('Supplier', 'Agent'), ('Part', 'Product')),
+    used AS (SELECT type_label AS c, count(*) AS n FROM ({star.sql_mentions()}) GROUP BY type_label), up(c, a) AS (SELECT c, c FROM used UNION SELECT up.c, sub.a FROM up JOIN sub ON up.a = sub.c)
+    SELECT c AS class, a AS ancestor, n FROM up JOIN used USING (c)"""
+)
 def superclass_closure(spark, d):
-    onto = star.onto(spark)
+    """The classes of the graph's mentions with all that they are besides, and how many mentions that concerns."""
     local = lambda c: T.uri_local_name(c)
-    return onto.closure.join(onto.classes.select("uri"), "uri").select(local("uri").alias("class"), local("ancestor_uri").alias("ancestor"))
+    used = stats.class_usage(star.mentions(spark, d)).withColumnRenamed("class", "uri")
+    return star.onto(spark).closure.join(used, "uri").select(local("uri").alias("class"), local("ancestor_uri").alias("ancestor"), "n")
 
 
 _REVERSED_SQL = f"""tr AS (SELECT doc_id, ord, s, p, o FROM ({star.sql_triples()}) UNION ALL SELECT 'reversed', n_nationkey, r_name, 'located in', n_name FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -245,11 +250,27 @@ def relation_rewrite(spark, d):
     return dedup.rewrite(t, forms).select(F.col("subject_sf").alias("subject"), F.col("object_sf").alias("object"), _joined().alias("provenance"))
 
 
-@query("SELECT * FROM (VALUES ('Vendor One', 'vendor one'), ('Vendor Ones', 'vendor one'), ('vendor one', 'vendor one|1'), ('Acme', 'acme'), ('acme', 'acme'), ('Alan', 'alan'), ('Alans', 'alan|1')) v(surface_form, key)")
+#: Types of the three forms of a name, by its length: place in a list, the last of which stands for none.
+_BUCKET_KINDS = ("Supplier", "Agent", "Customer", "Brand", None)
+_BUCKET_SQL = """WITH name AS (SELECT DISTINCT p_name AS w FROM part), kind(k, c, size) AS (VALUES (0, 'Supplier', 2), (1, 'Agent', 1), (2, 'Customer', 2), (3, 'Brand', 1), (4, NULL, 0)),
+    ok AS (SELECT x.k AS a, y.k AS b, x.c IS NULL OR y.c IS NULL OR x.c = y.c OR (x.c = 'Agent' AND y.size = 2) OR (y.c = 'Agent' AND x.size = 2) AS fits, CASE WHEN y.size > x.size OR x.c IS NULL THEN y.k ELSE x.k END AS head FROM kind x, kind y),
+    f AS (SELECT w, length(w) % 5 AS k1, (length(w) * 2 + 1) % 5 AS k2, (length(w) * 3 + ascii(w)) % 5 AS k3 FROM name),
+    two AS (SELECT f.*, ok.fits AS same2, CASE WHEN ok.fits THEN ok.head ELSE k1 END AS head0 FROM f JOIN ok ON ok.a = k1 AND ok.b = k2),
+    three AS (SELECT two.*, x.fits AS in0, NOT same2 AND y.fits AS in1 FROM two JOIN ok x ON x.a = head0 AND x.b = k3 JOIN ok y ON y.a = k2 AND y.b = k3)
+    SELECT concat(upper(w[1]), w[2:]) AS surface_form, w AS key FROM three UNION ALL SELECT w, CASE WHEN same2 THEN w ELSE concat(w, '|1') END FROM three
+    UNION ALL SELECT concat(w, 's'), CASE WHEN in0 THEN w WHEN in1 THEN concat(w, '|1') WHEN same2 THEN concat(w, '|1') ELSE concat(w, '|2') END FROM three"""
+
+
+@query(_BUCKET_SQL)
 def type_buckets(spark, d):
-    rows = [("Vendor One", "Supplier"), ("Vendor Ones", "Agent"), ("vendor one", "Customer"), ("Acme", None), ("acme", "Brand"), ("Alan", "Customer"), ("Alans", "Brand")]
+    """Three spellings of every part's name, whose types agree or not: each goes to the first bucket of its key that it agrees with."""
     onto = star.onto(spark)
-    typed = spark.createDataFrame([(s, k, k and _NS + k) for s, k in rows], "surface_form string, type_label string, type_uri string")
+    n = F.length("w")
+    at = F.array(n % 5, (n * 2 + 1) % 5, (n * 3 + F.ascii("w")) % 5)
+    form = F.array(F.concat(F.upper(F.substring("w", 1, 1)), F.expr("substring(w, 2)")), F.col("w"), F.concat("w", F.lit("s")))
+    rows = star.table(spark, d, "part").select(F.col("p_name").alias("w")).distinct().select(F.inline(F.arrays_zip(form.alias("surface_form"), at.alias("k"))))
+    label = F.get(F.array(*[F.lit(k) for k in _BUCKET_KINDS]), F.col("k").cast("int"))
+    typed = rows.select("surface_form", label.alias("type_label"), F.concat(F.lit(_NS), label).alias("type_uri"))
     typed = typed.join(dedup.string_keys(typed), "surface_form")
     out = dedup.type_buckets(typed, O.compatible_pairs(onto), onto.closure.groupBy("uri").agg(F.count("*").alias("size")))
     return out.select("surface_form", F.replace("key", F.lit("\0"), F.lit("|")).alias("key"))
