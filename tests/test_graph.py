@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import aggregate, conformance, dedup, narrowing, retrieval, serialize, stats, view_model, views
-from loomgraph.operators import skew
+from loomgraph.operators import components, skew
 from loomgraph.operators.components import connected_components
 from loomgraph.plans import pipeline
 from loomgraph.sources import corpus
@@ -226,6 +226,7 @@ def test_heavy_nodes(spark, monkeypatch):
     """A star that holds nearly all edges, beside a path: the broadcast way and the shuffled way give the same."""
     monkeypatch.setattr(skew, "LIGHT", 5)
     monkeypatch.setattr(skew, "SHARE", 0.2)
+    monkeypatch.setattr(components, "FINISH", 0)  # rounds, however few the edges
     edges = [(7, 100 + i) for i in range(60)] + [(k, k + 1) for k in range(20, 30)] + [(3, 130)]
     got = dict(connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
     assert got == {**{n: 3 for e in edges if e[0] in (7, 3) for n in e}, **{k: 20 for k in range(20, 31)}}
@@ -233,7 +234,8 @@ def test_heavy_nodes(spark, monkeypatch):
     assert sorted(map(tuple, skew.heavy_join(rows, keyed, ["k"], "n", 11, "left").collect()), key=str) == sorted([(1, "x")] * 9 + [(2, "y"), (4, None)], key=str)
 
 
-def test_components_raise_unfinished(spark):
+def test_components_raise_unfinished(spark, monkeypatch):
+    monkeypatch.setattr(components, "FINISH", 0)
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
     with pytest.raises(RuntimeError):
         connected_components(path, max_rounds=1)
