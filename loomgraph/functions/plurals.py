@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ _COMPOUND = (
 def singular(t: Column) -> Column:
     """The singular of one token, its capitals kept at the beginning; null for none of the plurals known."""
     low = F.lower(t)
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), low)
+    known = F.element_at(F.from_json(F.lit(json.dumps(IRREGULAR)), "map<string,string>"), low)
     cased = F.when(F.substring(t, 1, 1) == F.upper(F.substring(t, 1, 1)), F.concat(F.upper(F.substring(known, 1, 1)), F.substring(known, 2, 99))).otherwise(known)
     out = F.when(low.isin(*SAME), t).when(known.isNotNull(), cased)
     for ends, chance, tail, to in _COMPOUND:

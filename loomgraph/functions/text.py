@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -24,8 +25,8 @@ FOLDED = {c: f for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]
 def casefold(x) -> Column:
     """Unicode's full case folding: lower case, and character by character only where one is met that folds further."""
     low = F.lower(_c(x))
-    by_character = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in FOLDED.items() for v in kv]), c), c)), "")
-    return F.when(low.rlike("[" + "".join(FOLDED) + "]"), by_character).otherwise(low)
+    by_character = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(FOLDED)), "map<string,string>"), c), c)), "")
+    return F.when(F.length(low) == F.octet_length(low), low).when(low.rlike("[" + "".join(FOLDED) + "]"), by_character).otherwise(low)
 
 
 def normalize_label(x) -> Column:
