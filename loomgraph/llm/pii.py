@@ -8,7 +8,9 @@ log2(N / n(entity)).  A term that discloses at least ``generalise`` of it is
 generalised in the documents that hold the entity; from ``remove`` on it is
 removed.  A pair seen in fewer than ``support`` rows is judged too, by the lower
 confidence bound of the term's rate in place of the rate, so that chance meetings
-of rare terms and rare entities weigh less.
+of rare terms and rare entities weigh less.  Entities that stand in just the same rows
+disclose alike and are judged as one, so a page of thousands of addresses that no
+other page has makes no more pairs than it has terms.
 
 Defined cases: null or empty text has no spans; counts are over rows; rows that
 share a doc_id share their disclosing terms, but one without a base span loses nothing; a row without doc_id has base spans
@@ -46,6 +48,8 @@ _VALUES = V.byte_values(4, fold_case=True)
 TERM_BYTES = 3
 #: Most terms, and most entities, whose counts go to all tasks.
 FREQUENT = 100_000
+#: Pairs that a task holds before it sends them on.
+PAIR_ROWS = 1 << 16
 #: Standard deviations either side of a rate in its 95 % interval.
 Z = 1.96
 
@@ -130,6 +134,21 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return batched(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, text string, base array<int>, entities array<long>")
 
 
+def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``detected``, stored, with a number for each row."""
+    return stored(detected(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _merged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """found's rows that hold entities, with classes in their place, and (entity, n_entity) of the classes: entities of just the same rows are one."""
+    each = found.select("row", F.explode("entities").alias("entity"))
+    rows_of = [F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b")]
+    classes = each.groupBy("entity").agg(F.count("*").alias("n_entity"), *rows_of).select("entity", "n_entity", F.xxhash64("n_entity", "a", "b").alias("class"))
+    held = stored(each.join(classes, "entity").groupBy("row", F.col("class").alias("entity")).agg(F.first("n_entity").alias("n_entity")))
+    rows = found.drop("entities").join(held.groupBy("row").agg(F.collect_list("entity").alias("entities")), "row")
+    return rows, held.select("entity", "n_entity").distinct()
+
+
 def _frequent(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The keys, sorted, whose count is above a threshold that leaves fewer than ``most`` of them, with the counts; and the threshold."""
     total = counts.agg(F.sum(n)).first()[0] or 0
@@ -174,7 +193,7 @@ def _pairs(found: DataFrame, total: int, terms: DataFrame, entities: DataFrame,
                 doc = pa.nulls(len(keep), pa.int64()) if ids[i] is None else pa.array(np.full(len(keep), ids[i], np.int64))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(np.full(len(keep), entity, np.int64)), pa.array(keep)], schema=schema)
 
-    def run(batches):
+    def groups(batches):
         for batch in batches:
             held, size = ([], [], []), 0
             for doc, text, mine in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities"))):
@@ -182,12 +201,24 @@ def _pairs(found: DataFrame, total: int, terms: DataFrame, entities: DataFrame,
                     x.append(y)
                 size += len(held[1][-1])
                 if size >= 1 << 20:
-                    yield from pa.Table.from_batches(rows(*held), schema).combine_chunks().to_batches(1 << 16)
+                    yield held
                     held, size = ([], [], []), 0
             if held[0]:
-                yield from pa.Table.from_batches(rows(*held), schema).combine_chunks().to_batches(1 << 16)
+                yield held
+
+    def run(batches):
+        made, n = [], 0
+        for held in groups(batches):
+            for part in rows(*held):
+                made.append(part)
+                n += part.num_rows
+                if n >= PAIR_ROWS:  # sent on as they are made: a page's pairs are never held together
+                    yield from pa.Table.from_batches(made, schema).combine_chunks().to_batches(PAIR_ROWS)
+                    made, n = [], 0
+        if made:
+            yield from pa.Table.from_batches(made, schema).combine_chunks().to_batches(PAIR_ROWS)
 
-    return found.where("size(entities) > 0").select("doc_id", "text", "entities").mapInArrow(tidy(run), "doc_id long, entity long, term long")
+    return found.select("doc_id", "text", "entities").mapInArrow(tidy(run), "doc_id long, entity long, term long")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -228,11 +259,11 @@ def disclosing(pairs: DataFrame, total: int, terms: DataFrame, entities: DataFra
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, *, support: int = 3, generalise: float = 0.5, remove: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, generalised, removed): hashes of the terms that disclose an entity of the document; found: ``detected`` of docs."""
+    """(doc_id, generalised, removed): hashes of the terms that disclose an entity of the document; found: ``found_in`` docs."""
     total = found.count()
     terms = stored(term_frequencies(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))))
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = stored(_pairs(found, total, terms, entities, generalise))
+    rows, entities = _merged(found)
+    pairs = stored(_pairs(rows, total, terms, entities, generalise))
     flagged = disclosing(pairs, total, terms, entities, support, generalise)
     level = lambda c: F.collect_set(F.when(c, F.col("term")))
     return pairs.join(flagged, ["entity", "term"]).groupBy("doc_id").agg(level(F.col("share") < remove).alias("generalised"), level(F.col("share") >= remove).alias("removed"))
@@ -259,7 +290,7 @@ def _terms_in(text: str, base: list, generalised: list, removed: list) -> tuple[
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined)."""
-    found = stored(detected(docs, id_col, text_col))
+    found = found_in(docs, id_col, text_col)
     terms = disclosing_terms(docs, found, id_col=id_col, text_col=text_col, **thresholds)
 
     def finish(batches):
@@ -298,7 +329,7 @@ def redact(text: str, low: list | None, high: list | None) -> str:
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """The table with its texts redacted; every row and every other column stays (null texts too)."""
-    terms = disclosing_terms(docs, stored(detected(docs, id_col, text_col)), id_col=id_col, text_col=text_col, **thresholds)
+    terms = disclosing_terms(docs, found_in(docs, id_col, text_col), id_col=id_col, text_col=text_col, **thresholds)
     schema = docs.schema
     at = schema.names.index(text_col)
 

@@ -367,6 +367,27 @@ def test_pii_terms_against_loops(spark, listed, monkeypatch, seed):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_pii_of_a_page_of_addresses(spark):
+    """Addresses that only this page holds are judged as one; those of other rows too keep their own counts."""
+    def word(i):
+        return "w" + "".join(chr(97 + int(c)) for c in str(i))
+
+    page = " ".join(f"{word(i)} u{i}@page.org {word(i + 20_000)}" for i in range(20_000))
+    df = spark.createDataFrame([(1, page), (2, "zorblax u1@page.org"), (3, "zorblax u1@page.org"), *((i, f"plain words {word(i)}") for i in range(10, 400))], "doc_id long, text string")
+    rows, classes = pii._merged(pii.found_in(df))
+    assert sorted(r.n_entity for r in classes.collect()) == [1, 3] and rows.count() == 3
+    got = {r.doc_id: r for r in pii.spans(df).collect()}
+    assert got[1].n_email == 20_000 and got[2].n_email == 1 and got[10].spans == ""
+
+
+def test_pairs_are_sent_as_they_are_made(spark, listed, monkeypatch):
+    rows = [(i, " ".join(f"word{chr(97 + (i * k) % 20)}" for k in range(9)) + f" u{i % 4}@x.org v{i % 3}@x.org") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = disclosed(rows)
+    monkeypatch.setattr(pii, "PAIR_ROWS", 2)
+    assert listed(pii.spans(df), "doc_id", "spans") == ordered(want)
+
+
 def test_redaction_leaves_nothing():
     for t in ("4111 1111 1111 1111 1.2.3.4", "a@b.c@d.ef", "+1 (555) 010-9999 and 10.0.0.1.8.8.8.8"):
         assert not pii.base_spans(pii.redact(t, [], []))
