@@ -436,6 +436,37 @@ def test_decontamination_of_one_repeated_word(spark):
         assert got == {1: (60_000, 60_000, 2), 2: (12, 0, 0), 3: (14, 13, 2), 4: (1, 0, 0)}
 
 
+def test_decontamination_of_templated_items(spark):
+    """Items that differ in two numbers share their rarest terms; those that stand are found, in time that doesn't grow with items times places."""
+    ask = lambda n, m: f"what is the zeta of {n} and {m} omega or not then say so now"
+    bench = spark.createDataFrame([(f"t{i}", ask(i % 100, i // 100)) for i in range(10_000)] + [("copy", ask(7, 3))], "item_id string, text string")
+    rows = [(i, " ".join(ask((i * 7 + k) % 130, k % 130) for k in range(100))) for i in range(40)]
+    rows += [(100, ask(7, 3)), (101, ask(7, 300)), (102, None)]
+    began = time.monotonic()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.report(spark.createDataFrame(rows, "doc_id long, text string"), bench, window=13).collect()}
+    assert time.monotonic() - began < 120
+    items = {tuple(ask(i % 100, i // 100).split()) for i in range(10_000)}
+    windows = {}
+    for w in items:
+        for a in range(len(w) - 12):
+            windows.setdefault(w[a : a + 13], set()).add(w)
+    extra = ask(7, 3).split()
+    for i, t in rows:
+        w, hit, found = (t or "").split(), set(), set()
+        for a in range(len(w) - 12):
+            if x := windows.get(tuple(w[a : a + 13])):
+                hit |= set(range(a, a + 13))
+                found |= x
+        assert got[i] == (len(w), len(hit), len(found) + (tuple(extra) in found)), i
+
+
+def test_decontamination_of_rows_that_share_an_id(spark):
+    bench = spark.createDataFrame([("x", "one two three"), ("y", "four five")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three four")] * 50 + [(1, "four five six")] * 50, "doc_id long, text string")
+    got = Counter((r.n_words, r.n_hit, r.n_items) for r in decontamination.report(docs, bench).collect())
+    assert got == {(4, 3, 1): 50, (3, 2, 1): 50}
+
+
 def test_decontamination_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "d e f", 6, None)], "doc_id long, text string, `a.b` int, `__text` string")
     bench = spark.createDataFrame([(1, "A, b")], "item_id long, text string")
